@@ -33,7 +33,7 @@ RULES = (
     Rule(2, "short_words", "n_words > 0 AND word_chars < 2 * n_words"),
     Rule(3, "long_words", "word_chars > 15 * n_words"),
     Rule(4, "symbols", "10 * n_symbols > n_words"),
-    Rule(5, "repeated_lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule(5, "repeated_lines", "2 * n_dup_lines > n_lines"),
     Rule(6, "shouting", "n_words > 0 AND 3 * n_bangs > n_words"),
 )
 
