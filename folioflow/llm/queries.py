@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, packing, rules, sharding, tokens
+from . import minhash, packing, repeats, rules, sharding, tokens
 from ._tables import documents
 
 
@@ -14,6 +14,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.suffix_sums(tokens.length_histogram(tokens.encoded_lengths(docs)))
 
 
+def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(documents(spark, sf_dir))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shuffle_to_shards(sharding.light_rows(documents(spark, sf_dir)), shards=16)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -32,7 +36,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op4_sharding, op6_minhash, op7_packing, op8_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_suffix_array, op4_sharding, op6_minhash, op7_packing, op8_quality_rules)}
 
 _RULES_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -60,7 +64,22 @@ m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept FROM documents d JOIN m USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
+_REPEATS_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, h, strlen(h) // 2 AS n FROM d),
+s AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS g FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM b WHERE n >= 50)),
+m AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS first FROM s) WHERE first < doc_id),
+r AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM m),
+k AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM r),
+c AS (SELECT doc_id, min(i) AS s, max(i) + 50 AS e FROM k GROUP BY doc_id, run),
+a AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS p FROM c),
+j AS (SELECT a.doc_id, string_agg(substr(h, 2 * p + 1, 2 * (s - p)), '' ORDER BY s) AS head, max(e) AS e, sum(e - s) AS gone, count(*) AS spans FROM a JOIN b ON a.doc_id = b.doc_id GROUP BY a.doc_id)
+SELECT b.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(e, 0) + 1))) AS kept_sha256
+FROM b LEFT JOIN j ON j.doc_id = b.doc_id
+"""
+
 ORACLE_SQL = {
+    "op3_suffix_array": _REPEATS_SQL,
     "op6_minhash": _MINHASH_SQL,
     "op8_quality_rules": _RULES_SQL.replace("{bits}", "".join(f" + CASE WHEN {r.fails} THEN {1 << r.bit} ELSE 0 END" for r in rules.RULES))
     .replace("{base}", str(rules.mask("base")))

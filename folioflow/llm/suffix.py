@@ -55,10 +55,12 @@ def suffix_array(raw: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return sa, rank[:n]
 
 
-def common_prefixes(raw: np.ndarray, sa: np.ndarray, most: int, chain: int = 32) -> np.ndarray:
+def common_prefixes(raw: np.ndarray, sa: np.ndarray, rank: np.ndarray, most: int, chain: int = 32) -> np.ndarray:
     """lcp[r] = common prefix of suffixes sa[r - 1] and sa[r], up to `most` (lcp[0] = 0).
 
     Kasai: the suffix one place on in the text has at least one less. Chains of `chain` places run side by side, eight bytes a step.
+    sa need only be sorted to a depth of `most`: neighbours of equal rank have `most`, and as their order says nothing about the
+    suffixes one place on, those start anew.
     """
     n = len(raw)
     lcp = np.zeros(n, np.int64)
@@ -74,13 +76,16 @@ def common_prefixes(raw: np.ndarray, sa: np.ndarray, most: int, chain: int = 32)
     own = np.zeros(n, np.int64)
     heads = np.arange(0, n, chain)
     length = np.zeros(len(heads), np.int64)
+    tied = np.zeros(len(heads), bool)
     for t in range(chain):
         i = heads + t
         i = i[i < n]
-        length = np.maximum(length[: len(i)] - 1, 0)
+        length = np.where(tied[: len(i)], 0, np.maximum(length[: len(i)] - 1, 0))
         b = before[i]
-        live = np.flatnonzero(b >= 0)
+        tied = (b >= 0) & (rank[i] == rank[b])
         length[b < 0] = 0
+        length[tied] = np.minimum(most, n - np.maximum(i, b)[tied])
+        live = np.flatnonzero((b >= 0) & ~tied)
         while len(live):
             x, y = i[live], b[live]
             room = np.minimum(n - np.maximum(x, y), most) - length[live]
