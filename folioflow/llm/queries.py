@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, packing, repeats, rules, sharding, tokens
+from . import decontaminate, minhash, packing, repeats, rules, sharding, tokens
 from ._tables import documents
 
 
@@ -36,7 +36,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_suffix_array, op4_sharding, op6_minhash, op7_packing, op8_quality_rules)}
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_suffix_array, op4_sharding, op6_minhash, op7_packing, op8_quality_rules, op9_decontamination)}
 
 _RULES_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -78,7 +82,25 @@ SELECT b.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT)
 FROM b LEFT JOIN j ON j.doc_id = b.doc_id
 """
 
+_LEAKS_SQL = r"""
+WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ix AS (SELECT item_id, len(w) AS n, w, unnest(range(1, len(w) - 3)) AS j FROM i),
+ig AS (SELECT item_id, n, w[j] || ' ' || w[j + 1] || ' ' || w[j + 2] || ' ' || w[j + 3] || ' ' || w[j + 4] AS g FROM ix),
+ic AS (SELECT item_id, n, g, count(*) AS c FROM ig GROUP BY ALL),
+dw AS (SELECT doc_id, n, p, g, lead(g, 1) OVER o AS g1, lead(g, 2) OVER o AS g2, lead(g, 3) OVER o AS g3, lead(g, 4) OVER o AS g4 FROM (SELECT doc_id, len(w) AS n, unnest(range(0, len(w))) AS p, unnest(w) AS g FROM d) WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+dg AS MATERIALIZED (SELECT doc_id, n, p, g || ' ' || g1 || ' ' || g2 || ' ' || g3 || ' ' || g4 AS g FROM dw WHERE g4 IS NOT NULL),
+hit AS (SELECT DISTINCT doc_id, dg.n AS dn, item_id, ic.n AS inn, p FROM dg JOIN ic USING (g)),
+win AS (SELECT DISTINCT doc_id, item_id, inn, s FROM (SELECT doc_id, item_id, inn, dn, unnest(range(greatest(0, p - greatest(inn - 5, 0)), least(p, greatest(dn - inn, 0)) + 1)) AS s FROM hit)),
+wc AS (SELECT win.doc_id, item_id, inn, s, g, count(*) AS c FROM win JOIN dg ON dg.doc_id = win.doc_id AND p BETWEEN s AND s + inn - 5 GROUP BY ALL),
+both_ AS (SELECT wc.doc_id, wc.item_id, wc.inn, wc.s, sum(least(wc.c, coalesce(ic.c, 0))) AS k, sum(wc.c) AS nw FROM wc LEFT JOIN ic ON ic.item_id = wc.item_id AND ic.g = wc.g GROUP BY ALL),
+sim AS (SELECT doc_id, item_id, inn, s, k, nw + (inn - 4) - k AS u FROM both_),
+ok AS (SELECT *, k / u AS similarity, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY k / u DESC, s) AS r FROM sim WHERE 100 * k >= 80 * u)
+SELECT doc_id, item_id, CAST(s AS BIGINT) AS start, CAST(inn AS BIGINT) AS n_words, CAST(similarity AS DOUBLE) AS similarity FROM ok WHERE r = 1
+"""
+
 ORACLE_SQL = {
+    "op9_decontamination": _LEAKS_SQL,
     "op3_suffix_array": _REPEATS_SQL,
     "op6_minhash": _MINHASH_SQL,
     "op8_quality_rules": _RULES_SQL.replace("{bits}", "".join(f" + CASE WHEN {r.fails} THEN {1 << r.bit} ELSE 0 END" for r in rules.RULES))
