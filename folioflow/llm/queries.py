@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, packing, repeats, rules, sharding, tokens
+from . import decontaminate, langid, minhash, neighbours, packing, repeats, rules, sharding, tokens
 from ._tables import documents
 
 
@@ -23,6 +23,16 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _remainder(n: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", (_remainder(5) == 0).alias("held_out"))
+    model = langid.fit(docs.filter(~F.col("held_out")))
+    return langid.identify(docs, model, keep=("doc_id", "held_out"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), k=3, percent=85)
 
@@ -40,7 +50,14 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_suffix_array, op4_sharding, op6_minhash, op7_packing, op8_quality_rules, op9_decontamination)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", (_remainder(4) == 2).alias("held_out"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").dropDuplicates(["doc_id"])
+    model = neighbours.fit(docs.filter(~F.col("held_out")).join(labels, "doc_id"))
+    return neighbours.classify(docs, model, keep=("doc_id", "held_out"))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_suffix_array, op4_sharding, op5_language_id, op6_minhash, op7_packing, op8_quality_rules, op9_decontamination, op10_quality_classifier)}
 
 _RULES_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
