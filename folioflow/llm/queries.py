@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, minhash, neighbours, packing, repeats, rules, sharding, tokens
+from . import decontaminate, langid, minhash, neighbours, packing, repeats, rules, sharding, siteview, tokens
 from ._tables import documents
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return siteview.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return tokens.suffix_sums(tokens.length_histogram(tokens.encoded_lengths(docs)))
@@ -57,7 +61,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.classify(docs, model, keep=("doc_id", "held_out"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_suffix_array, op4_sharding, op5_language_id, op6_minhash, op7_packing, op8_quality_rules, op9_decontamination, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_token_counts, op3_suffix_array, op4_sharding, op5_language_id, op6_minhash, op7_packing, op8_quality_rules, op9_decontamination, op10_quality_classifier)}
 
 _RULES_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
