@@ -6,8 +6,9 @@ A byte goes if it lies in a string of `least` bytes that also starts in a docume
 2. Winnowed anchors (the least 20-byte gram of every 31 neighbours) are the same in every occurrence of a 50-byte string. Only strings
    whose anchor occurs in two documents can repeat, so a merge of anchor fingerprints tells each block the regions that matter. This
    loses nothing; a false alarm costs time only.
-3. Regions of equal bytes shrink to one in their block. Regions go to shards by their least anchor, so that copies meet; short ones and
-   ones with widespread anchors are spread, so a common line or a huge group of copies doesn't fill one shard.
+3. Regions are cut at anchors that content chooses. Regions of equal bytes shrink to one in their block. A region goes to a shard by the
+   anchor that it was cut at, or else its least, so that copies meet; ones whose anchor is in many blocks are spread by block, so a
+   common line or a huge group of copies doesn't fill one shard.
 4. Each shard sorts the suffixes of its regions (Larsson-Sadakane) and takes common prefixes (Kasai). Neighbours with a common prefix of
    `least` bytes are one class; in a class, only the smallest document keeps its string. Of each class one 63-bit fingerprint goes on,
    and the sorted lists of the shards are merged by binary search; a shard hears which of its classes start in a smaller document.
@@ -31,15 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._grams import Rolling, window_least
-from ._tables import bounded_batches, materialise, shared_dir
-from ._words import U, utf8
+from ._tables import bounded_batches, shared_dir
+from ._words import U, mix, utf8
 from .suffix import MOST, common_prefixes, suffix_array
 
 BLOCK_BYTES = 4_000_000
 LEAST = 50
-#: Regions below this length are spread over shards, as common lines are short.
-SHORT = 256
-_ANCHOR_BYTES, _CLASS_BYTES = 5, 7
+#: A region is cut where an anchor is divisible by this, so that equal stretches become equal regions.
+_CUT = 24
+_ANCHOR_BYTES, _CLASS_BYTES = 4, 7
 _BLOCKS_OF_A_SALT = 16
 
 
@@ -56,6 +57,25 @@ def _widen(b: bytes, width: int) -> np.ndarray:
     return np.ascontiguousarray(np.pad(x, ((0, 0), (0, 8 - width)))).view("<u8").ravel()
 
 
+def _pack(x: np.ndarray) -> bytes:
+    """Numbers of 0 or more in as many bytes each as the largest needs; the first byte says how many."""
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or int(x.max(initial=0)) < 1 << (8 * w))
+    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+
+
+def _unpack(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, f"<u{b[0]}", offset=1).astype(np.int64)
+
+
+def _steps(ids: np.ndarray) -> bytes:
+    """Ascending ids by their differences; the least one may be negative."""
+    return int(ids[0]).to_bytes(8, "little", signed=True) + _pack(np.diff(ids))
+
+
+def _ids(b: bytes) -> np.ndarray:
+    return int.from_bytes(b[:8], "little", signed=True) + np.concatenate([[0], np.cumsum(_unpack(b[8:]))])
+
+
 def _bucket(fp: np.ndarray, n: int) -> np.ndarray:
     """By the high bits, of which the low ones that travel say nothing."""
     return ((fp >> U(40)) * U(n) >> U(24)).astype(np.int64)
@@ -231,15 +251,16 @@ def _regions_of(row: dict, shared: pa.Table, least: int, buckets: int, shards: i
     use = np.flatnonzero(found | two)
     if not len(use):
         return None
-    # regions: flagged runs that touch, row by row
+    # regions: flagged runs that touch, row by row, up to the next cut
     touch = np.concatenate([[False], (b.begin[use][1:] == b.stop[use][:-1]) & (b.row[use][1:] == b.row[use][:-1])])
-    first = np.flatnonzero(~touch)
+    cut = touch & (b.fp[use] % U(_CUT) == 0)
+    first = np.flatnonzero(~touch | cut)
     begin, end = b.begin[use][first], b.stop[use][np.append(first[1:], len(use)) - 1] + least - 1
     at = b.row[use][first]
-    least_fp = np.minimum.reduceat(b.fp[use], first)
-    # how far the anchor by which the region goes is spread
-    local = np.empty(len(first), np.int64)
-    where = np.flatnonzero(b.fp[use] == np.repeat(least_fp, np.diff(np.append(first, len(use)))))
+    key = np.where(cut[first], b.fp[use][first], np.minimum.reduceat(b.fp[use], first))
+    # how far the anchor by which a region goes is spread
+    local = np.zeros(len(first), np.int64)
+    where = np.flatnonzero(b.fp[use] == np.repeat(key, np.diff(np.append(first, len(use)))))
     local[np.searchsorted(first, where, "right") - 1] = wide[use][where]
     roll = Rolling(b.raw)
     same = np.stack([roll.total[end] - roll.total[begin]]).ravel() * roll.down[begin]
@@ -250,8 +271,7 @@ def _regions_of(row: dict, shared: pa.Table, least: int, buckets: int, shards: i
     known = np.zeros(len(order), bool)
     known[order] = ids[at[order]] > owner
     salt = np.maximum(1, (1 << local) // _BLOCKS_OF_A_SALT).astype(U)
-    rng = U((row["block"] * 0x9E3779B97F4A7C15) % 2**64) ^ (np.arange(len(first), dtype=U) * U(0xD6E8FEB86659FD93))
-    mixed = np.where(size < SHORT, rng, least_fp ^ ((U(row["block"] % 2**63) % salt) * U(0xD6E8FEB86659FD93)))
+    mixed = mix(key ^ ((U(row["block"] % 2**63) % salt) * U(0xD6E8FEB86659FD93)))
     shard = ((mixed >> U(32)) % U(shards)).astype(np.int32)
     raw = b.raw.tobytes()
     data = [None if known[i] else raw[begin[i] : end[i]] for i in range(len(first))]
@@ -322,6 +342,7 @@ def _classes(regions: DataFrame, least: int, buckets: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         number = table.column("shard")[0].as_py()
+        table = table.filter(table.column("data").is_valid())
         s = _Shard(_long_regions(table, least), least)
         rows, known = [], []
         for part, (i, j) in enumerate(s.parts()):
@@ -355,17 +376,17 @@ def _classes(regions: DataFrame, least: int, buckets: int) -> DataFrame:
                 if a < z:
                     d = doc[a:z]
                     h = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-                    rows.append((k, number, part, d[h].tolist(), np.diff(np.append(h, len(d))).tolist(), _narrow(fp[a:z], _CLASS_BYTES)))
+                    rows.append((k, number, part, _steps(d[h]), _pack(np.diff(np.append(h, len(d)))), _narrow(fp[a:z], _CLASS_BYTES)))
         out = pa.Table.from_pylist([dict(zip(_CLASS_SCHEMA.names[:6], r, strict=True)) for r in rows], _CLASS_SCHEMA)
         t = s.intervals(known)
-        extra = pa.table({"bucket": pa.array([-1 - number] * len(known), pa.int32()), "shard": pa.array([number] * len(known), pa.int32()), "part": pa.nulls(len(known), pa.int32()), "ids": pa.nulls(len(known), pa.list_(pa.int64())), "counts": pa.nulls(len(known), pa.list_(pa.int32())), "fps": pa.nulls(len(known), pa.binary()), **{n: t.column(n) for n in ("block", "row", "start", "length")}})
+        extra = pa.table({"bucket": pa.array([-1 - number] * len(known), pa.int32()), "shard": pa.array([number] * len(known), pa.int32()), "part": pa.nulls(len(known), pa.int32()), "ids": pa.nulls(len(known), pa.binary()), "counts": pa.nulls(len(known), pa.binary()), "fps": pa.nulls(len(known), pa.binary()), **{n: t.column(n) for n in ("block", "row", "start", "length")}})
         return pa.concat_tables([out, extra])
 
     return regions.groupBy("shard").applyInArrow(run, _CLASS_DDL)
 
 
-_CLASS_DDL = "bucket int, shard int, part int, ids array<long>, counts array<int>, fps binary, block long, row int, start long, length long"
-_CLASS_SCHEMA = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("part", pa.int32()), ("ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("fps", pa.binary()), ("block", pa.int64()), ("row", pa.int32()), ("start", pa.int64()), ("length", pa.int64())])
+_CLASS_DDL = "bucket int, shard int, part int, ids binary, counts binary, fps binary, block long, row int, start long, length long"
+_CLASS_SCHEMA = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("part", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("fps", pa.binary()), ("block", pa.int64()), ("row", pa.int32()), ("start", pa.int64()), ("length", pa.int64())])
 _ANSWER_DDL = "shard int, bucket int, part int, fps binary, block long, row int, start long, length long"
 _ANSWER_SCHEMA = pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), ("part", pa.int32()), ("fps", pa.binary()), ("block", pa.int64()), ("row", pa.int32()), ("start", pa.int64()), ("length", pa.int64())])
 
@@ -377,7 +398,7 @@ def _merge_classes(classes: DataFrame) -> DataFrame:
         if table.column("bucket")[0].as_py() < 0:
             return table.select(_ANSWER_SCHEMA.names).cast(_ANSWER_SCHEMA)
         lists = [_widen(b, _CLASS_BYTES) for b in table.column("fps").to_pylist()]
-        docs = [np.repeat(np.asarray(i, np.int64), np.asarray(c)) for i, c in zip(table.column("ids").to_pylist(), table.column("counts").to_pylist(), strict=True)]
+        docs = [np.repeat(_ids(i), _unpack(c)) for i, c in zip(table.column("ids").to_pylist(), table.column("counts").to_pylist(), strict=True)]
         merged = np.sort(np.concatenate(lists))
         merged = merged[np.concatenate([[True], merged[1:] != merged[:-1]])]
         smallest = np.full(len(merged), np.iinfo(np.int64).max)
@@ -400,6 +421,9 @@ def _stretches(regions: DataFrame, answers: DataFrame, least: int, buckets: int)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         known = right.filter(pa.array([x is None for x in right.column("fps").to_pylist()], pa.bool_())).select(schema.names).cast(schema)
+        sure = left.column("data").is_null()
+        known = pa.concat_tables([known, left.filter(sure).select(schema.names).cast(schema)])
+        left = left.filter(left.column("data").is_valid())
         if not left.num_rows:
             return known
         lost = right.filter(pa.array([x is not None for x in right.column("fps").to_pylist()], pa.bool_()))
@@ -492,12 +516,10 @@ def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", least:
     total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n = max(1, math.ceil(total / BLOCK_BYTES))
     blocks = make_blocks(df, id, text, n)
-    buckets, shards = n, max(1, math.ceil(n / 2))
+    buckets, shards = n, n
     shared = _shared_anchors(_anchors(blocks, least, buckets))
-    regions = materialise(_regions(blocks, shared, least, buckets, shards, kind), "regions")
-    asked = regions.filter("data IS NOT NULL")
-    known = regions.filter("data IS NULL").select("block", "row", "start", "length")
-    gone = _stretches(asked, _merge_classes(_classes(asked, least, buckets)), least, buckets)
-    out = _cut(blocks, gone.union(known), kind, with_text)
+    regions = _regions(blocks, shared, least, buckets, shards, kind)
+    gone = _stretches(regions, _merge_classes(_classes(regions, least, buckets)), least, buckets)
+    out = _cut(blocks, gone, kind, with_text)
     out = out.withColumnRenamed("id", id)
     return out if with_text else out.drop("kept_text")
