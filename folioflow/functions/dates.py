@@ -33,7 +33,7 @@ def own_dates(text: str | Column, today: date) -> Column:
         day = F.regexp_extract(hit, "^(\\d{1,2})", 1)
         year = F.regexp_extract(hit, "(\\d{4})$", 1)
         month = F.when(figures, F.regexp_extract(hit, "^\\d{1,2}[/-](\\d{1,2})", 1).cast("int")).otherwise(F.try_element_at(months, F.lower(F.regexp_extract(hit, "^\\d{1,2} (?:de )?([^ ,0-9]+)", 1))))
-        d = F.try_to_date(F.concat_ws("-", year, F.lpad(month.cast("string"), 2, "0"), F.lpad(day, 2, "0")), F.lit("yyyy-MM-dd"))
+        d = F.try_to_date(F.concat_ws("-", year, F.lpad(month.cast("string"), 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd")
         before = upto(i)
         cited = F.substring(before, -CITATION_CONTEXT, CITATION_CONTEXT).rlike(CITED)
         around = F.concat(F.substring(before, -CARD_BEFORE, CARD_BEFORE), hit, F.substring(after(p), 1, CARD_AFTER))
@@ -46,8 +46,8 @@ def read_row_date(x: str | Column) -> Column:
     """struct(day DATE, precision): ISO, d/m/y with / . -, or a year alone."""
     t = F.trim(F.coalesce(_c(x).cast("string"), F.lit("")))
     iso, dmy = "^(\\d{4})-(\\d{1,2})-(\\d{1,2})(?:[ T].*)?$", "^(\\d{1,2})[/.-](\\d{1,2})[/.-](\\d{4})$"
-    build = lambda p, y, m, d: F.try_to_date(F.concat_ws("-", F.regexp_extract(t, p, y), F.lpad(F.regexp_extract(t, p, m), 2, "0"), F.lpad(F.regexp_extract(t, p, d), 2, "0")), F.lit("yyyy-MM-dd"))
-    day = F.when(t.rlike(iso), build(iso, 1, 2, 3)).when(t.rlike(dmy), build(dmy, 3, 2, 1)).when(t.rlike("^\\d{4}$"), F.try_to_date(F.concat(t, F.lit("-01-01")), F.lit("yyyy-MM-dd")))
+    build = lambda p, y, m, d: F.try_to_date(F.concat_ws("-", F.regexp_extract(t, p, y), F.lpad(F.regexp_extract(t, p, m), 2, "0"), F.lpad(F.regexp_extract(t, p, d), 2, "0")), "yyyy-MM-dd")
+    day = F.when(t.rlike(iso), build(iso, 1, 2, 3)).when(t.rlike(dmy), build(dmy, 3, 2, 1)).when(t.rlike("^\\d{4}$"), F.try_to_date(F.concat(t, F.lit("-01-01")), "yyyy-MM-dd"))
     return F.struct(day.alias("day"), F.when(t.rlike("^\\d{4}$"), "year").otherwise("day").alias("precision"))
 
 

@@ -31,7 +31,7 @@ def plausible_id(x: str | Column) -> Column:
 
 def reconcile_two(first: Column, second: Column) -> Column:
     """struct(value, doubt): the second fills or agrees; the first stays where they differ."""
-    agree = second.isNull() | (second == "") | (second == first)
+    agree = second.isNull() | (second == "") | F.coalesce(second == first, F.lit(False))
     empty = first.isNull() | (first == "")
     return F.struct(F.when(~agree & empty, second).otherwise(first).alias("value"), (~agree & ~empty).alias("doubt"))
 

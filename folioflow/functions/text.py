@@ -88,7 +88,7 @@ def seconds_of(x: str | Column) -> Column:
 def human_size(x: str | Column) -> Column:
     """Bytes with a decimal comma."""
     n = _c(x).cast("double")
-    one = lambda v, unit: F.concat(F.replace(F.format_string("%.1f", v), F.lit("."), F.lit(",")), F.lit(" " + unit))
+    one = lambda v, unit: F.concat(F.replace(F.format_string("%.1f", F.bround(v, 1)), F.lit("."), F.lit(",")), F.lit(" " + unit))
     return F.when(n >= 1024.0**3, one(n / 1024.0**3, "GB")).when(n >= 1024.0**2, one(n / 1024.0**2, "MB")).when(n >= 1024.0, one(n / 1024.0, "KB")).otherwise(F.concat(n.cast("long").cast("string"), F.lit(" B")))
 
 

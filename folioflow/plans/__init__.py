@@ -1,4 +1,4 @@
 """All queries of the library outside llm."""
 
-from . import pages  # noqa: F401
+from . import archive, match, pages  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

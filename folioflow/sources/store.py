@@ -46,7 +46,7 @@ def export_csv(rows: DataFrame, path: str, columns: tuple[str, ...] = EXPORTED)
 
 def relational(ledger: DataFrame, known_jobs: DataFrame | None = None) -> dict[str, DataFrame]:
     """operador, documento and resolucion tables of a ledger, without jobs already known."""
-    rows = ledger.filter("job_id IS NOT NULL AND job_id <> ''")
+    rows = ledger.filter("job_id IS NOT NULL AND cast(job_id AS string) <> ''")
     if known_jobs is not None:
         rows = rows.join(known_jobs.select("job_id").distinct(), "job_id", "left_anti")
     docs = rows.groupBy("job_id").agg(F.max("source_document").alias("source_document"), F.max("operator").alias("operator"), F.min("recorded_at").alias("recorded_at"), F.max("source_pages").alias("source_pages"), F.count("*").alias("n_units"))
