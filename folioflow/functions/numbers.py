@@ -68,6 +68,7 @@ def looks_equal(a: Column, b: Column) -> Column:
 
 def wilson(errors: Column, n: Column, level: float = 0.95) -> Column:
     """struct(low, high) of the share of errors."""
+    n = F.greatest(n, F.lit(1))
     z, p = Z[level], errors / n
     d = 1 + z * z / n
     centre = (p + z * z / (2 * n)) / d

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 LEDGER = (
     "recorded_at STRING, source_document STRING, code STRING, title STRING, type STRING, nic STRING, fecha STRING, file_name STRING, page_count LONG, first_page LONG, last_page LONG, pages STRING, "
@@ -17,9 +18,9 @@ EXPORTED = ("recorded_at", "source_document", "code", "title", "type", "file_nam
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """Lines of the ledger with `ordinal`, greater for later ones; a torn line costs itself only."""
-    raw = spark.read.schema(LEDGER + ", _torn STRING").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_torn").json(path)
-    x = raw.withColumn("ordinal", F.struct(F.col("_metadata.file_modification_time"), F.col("_metadata.file_name"), F.monotonically_increasing_id().alias("line")))
-    return x.filter("_torn IS NULL").drop("_torn")
+    raw = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_modification_time"), F.col("_metadata.file_name"), F.monotonically_increasing_id().alias("line")).alias("ordinal"))
+    read = F.from_json("value", LEDGER + ", _torn STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_torn"})
+    return raw.filter("trim(value) <> ''").select(read.alias("r"), "ordinal").filter("r._torn IS NULL").select("r.*", "ordinal").drop("_torn")
 
 
 def append_ledger(rows: DataFrame, path: str) -> int:
@@ -136,4 +137,4 @@ def ask(rows: DataFrame, port: Callable[[list], list] | None, input: str, output
                 got += (answer + [None] * len(part))[: len(part)]
             yield f.assign(**{output: got})
 
-    return rows.mapInPandas(run, rows.schema.add(output, "string"))
+    return rows.mapInPandas(run, StructType([*rows.schema.fields, StructField(output, StringType())]))
