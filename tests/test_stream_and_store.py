@@ -42,7 +42,7 @@ def test_ledger_survives_a_torn_line(spark, tmp_path):
     assert store.append_ledger(rows.drop("ordinal").limit(1), str(path)) == 1
     assert store.read_ledger(spark, str(path)).count() == 4
     store.rewrite_ledger(store.read_ledger(spark, str(path)).filter("page_count > 0"), str(path))
-    assert store.read_ledger(spark, str(path)).count() == 2 + (store.read_ledger(spark, str(path)).filter("page_count > 0").count() - 2)
+    assert all(r.page_count > 0 for r in store.read_ledger(spark, str(path)).collect())
 
 
 def test_csv_has_its_columns(spark, tmp_path):
