@@ -3,9 +3,9 @@
 A page is parsed into branches (tag and class names along the path). The trees of all pages of a host are merged: for each branch the
 styles in which its children come (presentation) and the texts of its leaves (content) are counted over the pages. A branch whose style
 and texts repeat from page to page has low entropy and so low importance; one that differs everywhere is important. Importance of a
-branch = (1 - D**n) of its own part + D**n of its children's mean (n: number of styles seen), as in site style trees; leaves have
-1 - mean of log_m(pages with the text). Hosts with few pages lean on the merged tree of all hosts (weight BACKOFF pages), so a menu is
-known as one on a host's only page too.
+branch = (1 - D**n) of its own part + D**n of its children's mean (n: number of styles seen), as in site style trees; a leaf has the
+entropy of its texts. Hosts with few pages lean on the merged tree of all hosts (weight BACKOFF pages), so a menu is known as one on a
+host's only page too; and a branch that is important over all hosts stays on a host whose pages are copies.
 
 Branches below IMPORTANCE go, with all below them. Elements that are never an article's text by HTML's own meaning (scripts, styles,
 forms, navigation, asides, page headers and footers) and blocks named as adverts, menus, notices or comments go in any case: on a host
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ._tables import bounded_batches, materialise, small_enough
 
-IMPORTANCE = 0.45
+IMPORTANCE = 0.6
 BACKOFF = 20
 DAMPING = 0.9
 BROADCAST_ROWS = 50_000
@@ -192,21 +192,22 @@ def style_tree(pages: DataFrame, html: str = "html", url: str = "url") -> DataFr
     all_ = _importance(every, []).select("path", F.col("importance").alias("general"), F.col("pages").alias("all_pages"))
     both = mine.join(all_, "path")
     w = F.col("pages") / (F.col("pages") + F.lit(BACKOFF))
-    return both.select("host", "path", (w * F.col("importance") + (1 - w) * F.col("general")).alias("importance"), F.col("all_pages").alias("pages"))
+    mixed = w * F.col("importance") + (1 - w) * F.col("general")
+    # a branch that differs elsewhere stays where a host's pages happen to be copies
+    return both.select("host", "path", F.greatest(mixed, "general").alias("importance"), F.col("all_pages").alias("pages"))
 
 
 def _importance(counts: DataFrame, by: list[str]) -> DataFrame:
     """Importance of each branch from (by, path, content, feature, n).
 
-    Content: 1 - the mean, over texts, of log_m of the pages that have the text. Presentation: the entropy of styles over pages, base m.
+    The entropy, base m, of the texts of a leaf or of the styles of a branch over its m occurrences: 1 where all differ, 0 where all are equal.
     """
     g = counts.groupBy(*by, "path", "content").agg(
-        F.sum("n").alias("m"), F.count("*").alias("k"), F.avg(F.log("n")).alias("mean_log"), F.sum(F.col("n") * F.log("n")).alias("n_log_n")
+        F.sum("n").alias("m"), F.count("*").alias("k"), F.sum(F.col("n") * F.log("n")).alias("n_log_n")
     )
     log_m = F.log("m")
-    content = F.when(F.col("m") > 1, 1 - F.col("mean_log") / log_m).otherwise(F.lit(1.0))
-    style = F.when(F.col("m") > 1, 1 - F.col("n_log_n") / F.col("m") / log_m).otherwise(F.lit(1.0))
-    own = g.select(*by, "path", "content", "m", "k", F.when(F.col("content"), content).otherwise(style).alias("own"))
+    entropy = F.when(F.col("m") > 1, 1 - F.col("n_log_n") / F.col("m") / log_m).otherwise(F.lit(1.0))
+    own = g.select(*by, "path", "content", "m", "k", entropy.alias("own"))
     leaf = own.filter("content").select(*by, "path", F.col("own").alias("leaf"), F.col("m").alias("leaf_m"))
     node = own.filter("NOT content").select(*by, "path", F.col("own").alias("node"), F.col("m").alias("node_m"), F.col("k").alias("styles"))
     x = leaf.join(node, [*by, "path"], "full")
