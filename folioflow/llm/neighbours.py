@@ -75,24 +75,27 @@ class Model:
         return np.clip(out, 0, 1)
 
 
-def fit(learn: DataFrame, label: str = "quality", text: str = "text", id: str = "doc_id", sample: int = SAMPLE, dimensions: int = DIMENSIONS) -> Model | None:
-    """From rows with a text and a 0/1 label. At most `sample` whole texts of each label are used, those with the least hashes of their ids."""
-    bounded_batches(learn.sparkSession)
-    rows = learn.filter(F.col(label).isin(0, 1))
-    share = rows.agg(F.avg(F.col(label).cast("double"))).first()[0]
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", id: str = "doc_id", sample: int = SAMPLE, dimensions: int = DIMENSIONS) -> Model | None:
+    """From docs with a 0/1 label. At most `sample` whole texts of each label are used, those with the least hashes of their ids.
+
+    Ids are joined with labels first; texts are only read for the chosen ids, which are few and broadcast, so no text is shuffled.
+    """
+    bounded_batches(docs.sparkSession)
+    marked = labels.filter(F.col(label).isin(0, 1)).select(F.col(id).alias("id"), F.col(label).cast("int").alias("y")).dropDuplicates(["id"])
+    rows = docs.select(F.col(id).alias("id")).distinct().join(marked, "id")
+    share = rows.agg(F.avg(F.col("y").cast("double"))).first()[0]
     if share is None:
         return None
     rank = Window.partitionBy("y").orderBy("h", "id")
-    ids = rows.select(F.col(id).alias("id"), F.col(label).cast("int").alias("y"), F.xxhash64(F.col(id).cast("string")).alias("h")).dropDuplicates(["id"])
-    chosen = ids.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= sample).select("id", "rank", "y")
-    picked = rows.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id").select("id", "y", "rank", "text")
+    chosen = rows.withColumn("h", F.xxhash64(F.col("id").cast("string"))).withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= sample).select("id", "rank", "y")
+    picked = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id").select("id", "y", "rank", "text")
 
     def run(batches):
         for b in batches:
             for i, j, raw, at in chunks(b.column(3)):
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in range(3)), pa.array([r.tobytes() for r in terms(raw, at).astype(np.float16)], pa.binary())], ["id", "y", "rank", "x"])
 
-    got = picked.mapInArrow(run, f"id {dict(learn.dtypes)[id]}, y int, rank int, x binary").dropDuplicates(["id"]).toPandas()  # 2 x sample rows of TERMS halves
+    got = picked.mapInArrow(run, f"id {dict(docs.dtypes)[id]}, y int, rank int, x binary").dropDuplicates(["id"]).toPandas()  # 2 x sample rows of TERMS halves
     got = got.sort_values(["rank", "y", "id"], kind="stable")
     x = np.stack([np.frombuffer(b, np.float16) for b in got["x"]]).astype(np.float32)
     y = got["y"].to_numpy().astype(np.float64)

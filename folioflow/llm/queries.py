@@ -56,8 +56,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", (_remainder(4) == 2).alias("held_out"))
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").dropDuplicates(["doc_id"])
-    model = neighbours.fit(docs.filter(~F.col("held_out")).join(labels, "doc_id"))
+    model = neighbours.fit(docs.filter(~F.col("held_out")), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return neighbours.classify(docs, model, keep=("doc_id", "held_out"))
 
 
