@@ -16,6 +16,8 @@ A byte goes if it lies in a string of `least` bytes that also starts in a docume
 
 Blobs of packed numbers travel, not a row per place. No key is gathered: a class is one entry for each shard that has it.
 
+Ids are integers.
+
 Defined cases: null and empty texts have no bytes; texts shorter than `least` are never cut; rows with equal ids don't cut each other,
 and each has its own result; ties in a class within the smallest document all stay; an empty table gives no rows.
 """
@@ -28,6 +30,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -208,21 +211,43 @@ def _shared_anchors(anchors: DataFrame) -> DataFrame:
     return anchors.groupBy("bucket").applyInArrow(run, "block long, bucket int, fps binary, spread binary")
 
 
-def _regions(blocks: DataFrame, shared: DataFrame, least: int, buckets: int, shards: int, kind: str) -> DataFrame:
-    """(block, row, id, start, length, shard, data): regions of strings whose anchors repeat. data is null where the region is known to go."""
-    schema = f"block long, row int, id {kind}, start long, length long, shard int, data binary"
+_REGION = pa.schema([("block", pa.int64()), ("row", pa.int32()), ("id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("data", pa.binary())])
+
+
+def _seal(row: np.ndarray, ids: np.ndarray, start: np.ndarray, size: np.ndarray, known: np.ndarray, data: list[bytes]) -> bytes:
+    """Regions of one block and shard, compressed together."""
+    parts = [len(row).to_bytes(4, "little"), row.astype("<i4").tobytes(), ids.astype("<i8").tobytes(), start.astype("<i8").tobytes(), size.astype("<i8").tobytes(), known.astype(np.uint8).tobytes(), *data]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+
+
+def _unseal(table: pa.Table) -> pa.Table:
+    """Regions of a shard, from what the blocks sealed."""
+    out = []
+    for block, blob in zip(table.column("block").to_pylist(), table.column("blob").to_pylist(), strict=True):
+        raw = zstandard.ZstdDecompressor().decompress(blob)
+        n, at, cols = int.from_bytes(raw[:4], "little"), 4, []
+        for kind in ("<i4", "<i8", "<i8", "<i8", "u1"):
+            cols.append(np.frombuffer(raw, kind, n, at))
+            at += n * np.dtype(kind).itemsize
+        row, ids, start, size, known = cols
+        data = []
+        for k, z in zip(known.tolist(), size.tolist(), strict=True):
+            data.append(None if k else raw[at : at + z])
+            at += 0 if k else z
+        out.append(pa.table({"block": pa.array([block] * n, pa.int64()), "row": row, "id": ids, "start": start, "length": size, "data": pa.array(data, pa.binary())}, _REGION))
+    return pa.concat_tables(out) if out else _REGION.empty_table()
+
+
+def _regions(blocks: DataFrame, shared: DataFrame, least: int, buckets: int, shards: int) -> DataFrame:
+    """(shard, block, blob): regions of strings whose anchors repeat, sealed together. Regions that are known to go have no bytes."""
+    schema = "shard int, block long, blob binary"
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         parts = []
         for row in left.to_pylist():
             got = [_regions_of(row, right, least, buckets, shards)]
             parts += [g for g in got if g is not None]
-        if not parts:
-            return _empty(left.schema.field("ids").type.value_type)
-        return pa.concat_tables(parts)
-
-    def _empty(id_type):
-        return pa.schema([("block", pa.int64()), ("row", pa.int32()), ("id", id_type), ("start", pa.int64()), ("length", pa.int64()), ("shard", pa.int32()), ("data", pa.binary())]).empty_table()
+        return pa.concat_tables(parts) if parts else _SEALED.empty_table()
 
     return blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(run, schema)
 
@@ -273,11 +298,17 @@ def _regions_of(row: dict, shared: pa.Table, least: int, buckets: int, shards: i
     salt = np.maximum(1, (1 << local) // _BLOCKS_OF_A_SALT).astype(U)
     mixed = mix(key ^ ((U(row["block"] % 2**63) % salt) * U(0xD6E8FEB86659FD93)))
     shard = ((mixed >> U(32)) % U(shards)).astype(np.int32)
-    raw = b.raw.tobytes()
-    data = [None if known[i] else raw[begin[i] : end[i]] for i in range(len(first))]
-    n = len(first)
-    kinds = pa.array(row["ids"])
-    return pa.table({"block": np.full(n, row["block"], np.int64), "row": at.astype(np.int32), "id": kinds.take(pa.array(at)), "start": begin - b.starts[at], "length": size, "shard": shard, "data": pa.array(data, pa.binary())})
+    raw, start = b.raw.tobytes(), begin - b.starts[at]
+    order, ends = _split(shard, shards)
+    out = []
+    for k in range(shards):
+        i = order[ends[k] : ends[k + 1]]
+        if len(i):
+            out.append((k, row["block"], _seal(at[i], ids[at[i]], start[i], size[i], known[i], [raw[begin[j] : end[j]] for j in i if not known[j]])))
+    return pa.Table.from_pylist([dict(zip(_SEALED.names, x, strict=True)) for x in out], _SEALED)
+
+
+_SEALED = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("blob", pa.binary())])
 
 
 class _Shard:
@@ -342,6 +373,7 @@ def _classes(regions: DataFrame, least: int, buckets: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         number = table.column("shard")[0].as_py()
+        table = _unseal(table)
         table = table.filter(table.column("data").is_valid())
         s = _Shard(_long_regions(table, least), least)
         rows, known = [], []
@@ -421,6 +453,7 @@ def _stretches(regions: DataFrame, answers: DataFrame, least: int, buckets: int)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         known = right.filter(pa.array([x is None for x in right.column("fps").to_pylist()], pa.bool_())).select(schema.names).cast(schema)
+        left = _unseal(left)
         sure = left.column("data").is_null()
         known = pa.concat_tables([known, left.filter(sure).select(schema.names).cast(schema)])
         left = left.filter(left.column("data").is_valid())
@@ -518,7 +551,7 @@ def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", least:
     blocks = make_blocks(df, id, text, n)
     buckets, shards = n, n
     shared = _shared_anchors(_anchors(blocks, least, buckets))
-    regions = _regions(blocks, shared, least, buckets, shards, kind)
+    regions = _regions(blocks, shared, least, buckets, shards)
     gone = _stretches(regions, _merge_classes(_classes(regions, least, buckets)), least, buckets)
     out = _cut(blocks, gone, kind, with_text)
     out = out.withColumnRenamed("id", id)
