@@ -5,8 +5,9 @@
 2. Candidates share a band. Each band bucket sends its members to one hub (a star), never pair by pair. A candidate passes if its
    similarity, estimated from the number of equal lanes and corrected for chance collisions of b bits, is within five standard
    deviations of the threshold; it is a link if the full sets say so.
-3. Buckets that still span components get another star with another hub, and what is left then is compared in tiles of bounded size,
-   across components only: no bucket is capped and none is gathered in one task.
+3. In buckets that still span components, members outside the main one get further stars, with other hubs of the main one in each
+   bucket and turn; what is left then is compared in stripes of bounded size, across components only: no bucket is capped and none is
+   gathered in one task.
 4. Components come from graph.connected_components.
 
 r and the number of bands follow from the threshold: a pair at the threshold shares no band with probability MISS at most.
@@ -31,7 +32,9 @@ from .graph import connected_components
 ROWS = 6
 MISS = 3e-7
 BITS = 2
-TILE = 64
+#: Stars that buckets get before their remaining components are compared in full, and members of a stripe of that.
+STARS = 3
+STRIPE = 4096
 
 
 def bands_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
@@ -162,32 +165,61 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", k: in
     links = materialise(verify(sides(star).filter(alike()).select("a", "b"), texts, k, percent), "links")
     found = connected_components(links)
 
-    for last in (False, True):
-        label = reps.select("id", "n_shingles", "sig").join(found, "id", "left").select("id", "n_shingles", "sig", F.coalesce("component", "id").alias("c"))
-        labelled = member.join(label.select("id", "c"), "id")
-        open_keys = labelled.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id"), "id", "c")).alias("hub")).filter("c0 <> c1")
-        rest = materialise(labelled.join(open_keys.select("key", "n", F.col("hub.id").alias("hub"), F.col("hub.c").alias("hub_c")), "key"), "open")
-        if not last:
-            pairs = sides(rest.filter("id <> hub AND c <> hub_c").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()).filter(alike())
+    # buckets that span components, and edges between components from there on
+    label = reps.select("id", "n_shingles", "sig").join(found, "id", "left").select("id", "n_shingles", "sig", F.coalesce("component", "id").alias("c"))
+    member = member.join(label.select("id", "c"), "id")
+    spans = member.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("key")
+    rest = materialise(member.join(spans, "key"), "open")
+    label = materialise(label.join(rest.select("id").distinct(), "id", "left_semi"), "open-labels")
+    joined = None
+    for turn in range(STARS + 1):
+        if turn < STARS:
+            pairs = sides(_stars(rest, turn)).filter(alike())
         else:
-            pairs = _tiles(rest, label, alike)
-        more = materialise(verify(pairs.select("a", "b"), texts, k, percent), "links")
+            pairs = _stripes(rest, label, alike)
+        links = verify(pairs.select("a", "b"), texts, k, percent)
+        side = lambda s: label.select(F.col("id").alias(s), F.col("c").alias(f"c{s}"))
+        more = materialise(links.join(side("a"), "a").join(side("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "component-links")
         if more.isEmpty():
             continue
-        found = connected_components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
+        joined = more if joined is None else joined.union(more)
+        if turn < STARS:
+            to = connected_components(joined).withColumnRenamed("id", "c0")
+            now = label.withColumnRenamed("c", "c0")
+            old = rest.select("key", "id").join(now.select("id", "c0").join(to, "c0", "left").select("id", F.coalesce("component", "c0").alias("c")), "id")
+            spans = old.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
+            rest = materialise(old.join(spans, "key"), "open")
+    if joined is not None:
+        to = connected_components(joined).select(F.col("id").alias("component"), F.col("component").alias("to"))
+        every = found.union(joined.select(F.col("a").alias("id"), F.col("a").alias("component"))).union(joined.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
+        found = materialise(every.join(to, "component", "left").select("id", F.coalesce("to", "component").alias("component")), "components")
     component = best.select("set_a", "set_b", F.col("r.id").alias("rep")).join(found.withColumnRenamed("id", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
     out = seen.select("id", "n_shingles", "set_a", "set_b").join(component, ["set_a", "set_b"], "left")
     c = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component"))
     return out.select(F.col("id").alias(id), "n_shingles", c.alias("component_id"), (F.col("id") == c).alias("kept"))
 
 
-def _tiles(rest: DataFrame, label: DataFrame, alike) -> DataFrame:
-    """Pairs of buckets across components. A bucket of n members is dealt to g = ceil(n / TILE) groups, and each pair of groups is a tile of its own."""
-    g = F.greatest(F.lit(1), F.ceil(F.col("n") / TILE)).cast("int")
-    x = rest.select("key", "id", "c", g.alias("g")).withColumn("i", F.pmod(F.xxhash64("id", "key"), F.col("g")).cast("int"))
-    x = x.join(label.select("id", "n_shingles", "sig"), "id").select("key", "id", "c", "n_shingles", "sig", "i", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("j"))
-    x = x.select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "id", "c", "n_shingles", "sig", "i")
-    a = x.select("key", "lo", "hi", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa"), F.col("i").alias("ia"))
-    b = x.select("key", "lo", "hi", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb"), F.col("i").alias("ib"))
-    across = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & ((F.col("ia") != F.col("ib")) | (F.col("lo") == F.col("hi")))
-    return a.join(b, ["key", "lo", "hi"]).filter(across & alike()).select("a", "b").distinct()
+def _main(rest: DataFrame) -> DataFrame:
+    """(key, main, g): each bucket's most frequent component, and how many stripes those outside it make."""
+    sizes = rest.groupBy("key", "c").agg(F.count("*").alias("n"))
+    return sizes.groupBy("key").agg(F.max(F.struct("n", "c")).alias("m"), F.sum("n").alias("n")).select("key", F.col("m.c").alias("main"), F.ceil((F.col("n") - F.col("m.n")) / STRIPE).cast("int").alias("g"))
+
+
+def _stars(rest: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each member outside its bucket's main component with one of it, another in each bucket and turn."""
+    x = rest.join(_main(rest).select("key", "main"), "key")
+    hub = x.filter("c = main").groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key", F.lit(turn)), "id")).alias("h")).select("key", F.col("h.id").alias("hub"))
+    return x.filter("c <> main").join(hub, "key").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+
+
+def _stripes(rest: DataFrame, label: DataFrame, alike) -> DataFrame:
+    """Pairs of buckets across components: every member outside its bucket's main component meets all members.
+
+    Those outside are dealt to stripes of STRIPE members at most, so a task holds one stripe; only where a bucket has several are its members repeated.
+    """
+    x = rest.select("key", "id", "c").join(_main(rest), "key").join(label.select("id", "n_shingles", "sig"), "id")
+    side = lambda s: [F.col("id").alias(s), F.col("c").alias(f"c{s}"), F.col("n_shingles").alias(f"n{s}"), F.col("sig").alias(f"s{s}")]
+    few = x.filter("c <> main").select("key", F.pmod(F.xxhash64("id", "key"), F.col("g")).cast("int").alias("stripe"), *side("a"))
+    every = x.select("key", "main", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("stripe"), *side("b"))
+    across = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b")))
+    return few.join(every, ["key", "stripe"]).filter(across & alike()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
