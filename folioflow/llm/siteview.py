@@ -5,7 +5,9 @@ styles in which its children come (presentation) and the texts of its leaves (co
 and texts repeat from page to page has low entropy and so low importance; one that differs everywhere is important. Importance of a
 branch = (1 - D**n) of its own part + D**n of its children's mean (n: number of styles seen), as in site style trees; a leaf has the
 entropy of its texts. Hosts with few pages lean on the merged tree of all hosts (weight BACKOFF pages), so a menu is known as one on a
-host's only page too; and a branch that is important over all hosts stays on a host whose pages are copies.
+host's only page too; where a host has enough pages its own counts decide, whatever the path is elsewhere. All hosts' tree in its turn
+leans on 1 (weight BACKOFF pages), so a branch that few pages have stays. Pages of a host with the same text outside the elements that
+go anyway count once, and once over all hosts, so copies do not lower importance.
 
 Branches below IMPORTANCE go, with all below them. Elements that are never an article's text by HTML's own meaning (scripts, styles,
 forms, navigation, asides, page headers and footers) and blocks named as adverts, menus, notices or comments go in any case: on a host
@@ -14,7 +16,7 @@ with few and unlike pages no count can tell them. The rest is the text.
 The tree's counts are pre-aggregated per task, so a host with a third of all pages is no hot key; texts of leaves are counted by hash.
 The finished tree (one row per branch that goes) is broadcast if it has BROADCAST_ROWS at most and joined by host otherwise.
 
-Defined cases: null and empty pages have the text '' ; pages without a host form one host; repeated pages are counted as pages; broken
+Defined cases: null and empty pages have the text '' ; pages without a host form one host; repeated pages each get a row; broken
 markup is read leniently (unclosed and stray tags, cut ends); an empty table gives no rows.
 """
 
@@ -33,8 +35,6 @@ IMPORTANCE = 0.6
 BACKOFF = 20
 DAMPING = 0.9
 BROADCAST_ROWS = 50_000
-#: Pages on which a merged branch must have been seen before counts can condemn it.
-LEAST_PAGES = 20
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -152,14 +152,14 @@ def host_of(url: str) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1)), F.lit(""))
 
 
-def _features(page: str | None) -> set[tuple[str, str, bool]]:
-    """(path, hash of a leaf's text or of a branch's style, whether it is content) of a page, each once."""
+def _features(page: str | None) -> tuple[str, list[tuple[str, str, bool, bool]]]:
+    """What pages that are copies of each other share, and (path, text of a leaf or style of a branch, whether it is content, whether it is the first such row of its path) of a page, each once."""
     blocks = parse(page) if page else []
-    out: set = set()
+    out: dict = {}
     children: dict[str, list[str]] = {}
     for path, _, text in blocks:
         if text:
-            out.add((path, text, True))
+            out[path, text, True] = None
         else:
             parent, _, own = path.rpartition("/")
             kinds = children.setdefault(parent, [])
@@ -167,8 +167,14 @@ def _features(page: str | None) -> set[tuple[str, str, bool]]:
                 kinds.append(own)
     for path, kinds in children.items():
         if path:
-            out.add((path, " ".join(kinds), False))
-    return out
+            out[path, " ".join(kinds), False] = None
+    met: set = set()
+    rows = []
+    for path, text, content in out:
+        rows.append((path, text, content, (path, content) not in met))
+        met.add((path, content))
+    same = "\n".join(f"{path} {text}" for path, never, text in blocks if text and not never)
+    return same or page or "", rows
 
 
 def style_tree(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
@@ -176,49 +182,69 @@ def style_tree(pages: DataFrame, html: str = "html", url: str = "url") -> DataFr
     import xxhash
 
     bounded_batches(pages.sparkSession)
+    kinds = [("path", pa.string()), ("feature", pa.int64()), ("content", pa.bool_()), ("first", pa.bool_())]
 
     def run(batches):
         for b in batches:
-            hosts, rows = b.column(0).to_pylist(), []
-            for host, page in zip(hosts, b.column(1).to_pylist(), strict=True):
-                rows += [(host, path, xxhash.xxh64_intdigest(text) - 2**63, content) for path, text, content in _features(page)]
-            cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.bool_())], ["host", "path", "feature", "content"])
-
-    seen = pages.select(host_of(url).alias("host"), F.col(html).alias("html")).mapInArrow(run, "host string, path string, feature long, content boolean")
-    counts = materialise(seen.groupBy("host", "path", "content", "feature").agg(F.count("*").alias("n")), "features")
-    every = counts.groupBy("path", "content", "feature").agg(F.sum("n").alias("n"))
-    mine = _importance(counts, ["host"])
-    all_ = _importance(every, []).select("path", F.col("importance").alias("general"), F.col("pages").alias("all_pages"))
-    both = mine.join(all_, "path")
-    w = F.col("pages") / (F.col("pages") + F.lit(BACKOFF))
-    mixed = w * F.col("importance") + (1 - w) * F.col("general")
-    # a branch that differs elsewhere stays where a host's pages happen to be copies
-    return both.select("host", "path", F.greatest(mixed, "general").alias("importance"), F.col("all_pages").alias("pages"))
+            same, ends, rows = [], [0], []
+            for page in b.column(1).to_pylist():
+                key, found = _features(page)
+                same.append(xxhash.xxh64_intdigest(key) - 2**63)
+                rows += [(path, xxhash.xxh64_intdigest(text) - 2**63, content, first) for path, text, content, first in found]
+                ends.append(len(rows))
+            cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+            fields = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, kinds, strict=True)], [k for k, _ in kinds])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), fields)], ["host", "same", "features"])
+
+    seen = pages.select(host_of(url).alias("host"), F.col(html).alias("html")).mapInArrow(run, "host string, same long, features array<struct<path string, feature long, content boolean, first boolean>>")
+    once = materialise(seen.dropDuplicates(["host", "same"]), "features")
+    mine = _importance(_counts(once, ["host"]), ["host"])
+    all_ = _importance(_counts(once.dropDuplicates(["same"]), []), [])
+    all_ = all_.select("path", _leaning("importance", "pages", F.lit(1.0)).alias("general"))
+    both = mine.join(all_, "path").select("host", "path", _leaning("importance", "pages", F.col("general")).alias("mixed"), "is_leaf", "pages")
+    # a branch never goes while one of its leaves is important
+    best = both.filter("is_leaf").select("host", "mixed", F.explode(_ancestors()).alias("path")).groupBy("host", "path").agg(F.max("mixed").alias("best"))
+    return both.join(best, ["host", "path"], "left").select("host", "path", F.greatest("mixed", "best").alias("importance"), "pages")
+
+
+def _leaning(value: str, pages: str, on: F.Column) -> F.Column:
+    return (F.col(pages) * F.col(value) + F.lit(BACKOFF) * on) / (F.col(pages) + F.lit(BACKOFF))
+
+
+def _ancestors() -> F.Column:
+    """path and all branches above it."""
+    return F.expr("transform(sequence(1, size(split(path, '/')) - 1), i -> concat('/', array_join(slice(split(path, '/'), 2, i), '/')))")
+
+
+def _counts(once: DataFrame, by: list[str]) -> DataFrame:
+    """(by, path, content, feature, n, n_first): n pages have the feature, n_first of them as their path's first, so that n_first adds up to pages."""
+    rows = once.select(*by, F.explode("features").alias("f")).select(*by, "f.*")
+    return rows.groupBy(*by, "path", "content", "feature").agg(F.count("*").alias("n"), F.count_if("first").alias("n_first"))
 
 
 def _importance(counts: DataFrame, by: list[str]) -> DataFrame:
-    """Importance of each branch from (by, path, content, feature, n).
+    """Importance of each branch from (by, path, content, feature, n, n_first), whether it is a leaf, and its pages.
 
     The entropy, base m, of the texts of a leaf or of the styles of a branch over its m occurrences: 1 where all differ, 0 where all are equal.
     """
     g = counts.groupBy(*by, "path", "content").agg(
-        F.sum("n").alias("m"), F.count("*").alias("k"), F.sum(F.col("n") * F.log("n")).alias("n_log_n")
+        F.sum("n").alias("m"), F.count("*").alias("k"), F.sum(F.col("n") * F.log("n")).alias("n_log_n"), F.sum("n_first").alias("pages")
     )
     log_m = F.log("m")
     entropy = F.when(F.col("m") > 1, 1 - F.col("n_log_n") / F.col("m") / log_m).otherwise(F.lit(1.0))
-    own = g.select(*by, "path", "content", "m", "k", entropy.alias("own"))
-    leaf = own.filter("content").select(*by, "path", F.col("own").alias("leaf"), F.col("m").alias("leaf_m"))
-    node = own.filter("NOT content").select(*by, "path", F.col("own").alias("node"), F.col("m").alias("node_m"), F.col("k").alias("styles"))
+    own = g.select(*by, "path", "content", "m", "k", "pages", entropy.alias("own"))
+    leaf = own.filter("content").select(*by, "path", F.col("own").alias("leaf"), F.col("m").alias("leaf_m"), F.col("pages").alias("leaf_pages"))
+    node = own.filter("NOT content").select(*by, "path", F.col("own").alias("node"), F.col("pages").alias("node_pages"), F.col("k").alias("styles"))
     x = leaf.join(node, [*by, "path"], "full")
-    # what lies below a branch: the best of its leaves' importance; a branch is as good as the best below it
-    up = leaf.select(*by, "leaf", "leaf_m", F.explode(F.expr("transform(sequence(1, size(split(path, '/')) - 1), i -> concat('/', array_join(slice(split(path, '/'), 2, i), '/')))")).alias("path"))
-    below = up.groupBy(*by, "path").agg((F.sum(F.col("leaf") * F.col("leaf_m")) / F.sum("leaf_m")).alias("below"), F.max("leaf").alias("best"))
+    # what lies below a branch: its leaves' importance by their occurrences
+    up = leaf.select(*by, "leaf", "leaf_m", F.explode(_ancestors()).alias("path"))
+    below = up.groupBy(*by, "path").agg((F.sum(F.col("leaf") * F.col("leaf_m")) / F.sum("leaf_m")).alias("below"))
     x = x.join(below, [*by, "path"], "left")
     d = F.pow(F.lit(DAMPING), F.coalesce(F.col("styles"), F.lit(0)))
     mixed = (1 - d) * F.coalesce(F.col("node"), F.lit(0.0)) + d * F.coalesce(F.col("below"), F.lit(0.0))
-    # a branch never goes while one of its leaves is important
-    return x.select(*by, "path", F.greatest(mixed, F.coalesce(F.col("best"), F.lit(0.0)), F.coalesce(F.col("leaf"), F.lit(0.0))).alias("importance"), F.greatest(F.coalesce(F.col("leaf_m"), F.lit(0)), F.coalesce(F.col("node_m"), F.lit(0))).alias("pages"))
+    # a leaf's texts decide, not the styles of what lies beside them
+    is_leaf = F.col("leaf").isNotNull()
+    return x.select(*by, "path", F.coalesce("leaf", mixed).alias("importance"), is_leaf.alias("is_leaf"), F.coalesce("leaf_pages", "node_pages").alias("pages"))
 
 
 def main_text(page: str | None, gone: frozenset[str] | set[str]) -> str:
@@ -244,7 +270,7 @@ def extract(pages: DataFrame, id: str = "page_id", url: str = "url", html: str =
     spark = pages.sparkSession
     bounded_batches(spark)
     tree = style_tree(pages, html, url)
-    low = tree.filter((F.col("importance") < importance) & (F.col("pages") >= LEAST_PAGES)).groupBy("host").agg(F.collect_set("path").alias("gone"))
+    low = tree.filter(F.col("importance") < importance).groupBy("host").agg(F.collect_set("path").alias("gone"))
     low = materialise(low, "low-branches")
     rows = pages.select(F.col(id).alias("id"), F.col(url).alias("url"), host_of(url).alias("host"), F.col(html).alias("html"))
     low = F.broadcast(low) if small_enough(low, BROADCAST_ROWS) else low

@@ -353,3 +353,19 @@ def test_style_tree_finds_repeated_branches(spark):
         assert got[i].n_chars == len(got[i].text)
     assert got[80].text == got[81].text == ""
     assert siteview.extract(pages.limit(0)).count() == 0
+
+
+def test_style_tree_drops_a_hosts_own_text_on_a_path_that_is_text_elsewhere(spark):
+    rng = random.Random(6)
+    # each host repeats a text of its own where other hosts have their articles
+    rows = [(h, f"<body><div><p>We are host {h}</p></div><section><p>{prose(rng, 30)}</p></section></body>") for h in range(4) for _ in range(60)]
+    rows += [(h, f"<body><div><p>{prose(rng, 30)}</p></div></body>") for h in range(4, 12) for _ in range(60)]
+    # copies with other footers are no reason to drop a host's text
+    copies = [prose(rng, 30) for _ in range(12)]
+    rows += [(12, f"<body><section><p>{copies[i if i < 12 else 0]}</p></section><footer>{i}</footer></body>") for i in range(90)]
+    # few pages with the same text show nothing yet
+    rows += [(13, "<body><table><tr><td>Rare</td></tr></table><section><p>" + prose(rng, 30) + "</p></section></body>") for _ in range(3)]
+    pages = spark.createDataFrame([(i, f"http://h{h}.example/{i}", page) for i, (h, page) in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in siteview.extract(pages).collect()}
+    for i, (_, page) in enumerate(rows):
+        assert got[i] == "\n".join(x for x in re.findall(r"<(?:p|td)>(.*?)</", page) if not x.startswith("We are"))
