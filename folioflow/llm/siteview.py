@@ -10,8 +10,10 @@ leans on 1 (weight BACKOFF pages), so a branch that few pages have stays. Pages
 go anyway count once, and once over all hosts, so copies do not lower importance.
 
 Branches below IMPORTANCE go, with all below them. Elements that are never an article's text by HTML's own meaning (scripts, styles,
-forms, navigation, asides, page headers and footers) and blocks named as adverts, menus, notices or comments go in any case: on a host
-with few and unlike pages no count can tell them. The rest is the text.
+controls, navigation, asides, page headers and footers) go in any case. Forms and blocks named as adverts, menus, notices or comments
+go as well, as on a host with few and unlike pages no count can tell them, but a name is a prior only: what holds the page's article or
+main element (of several, those in the fewest such blocks) is not condemned by it, and on pages without one a leaf stays if its host's
+counts, leaning on 0 (weight BACKOFF pages), are above IMPORTANCE in a form and NAMED_IMPORTANCE in a named block. The rest is the text.
 
 The tree's counts are pre-aggregated per task, so a host with a third of all pages is no hot key; texts of leaves are counted by hash.
 The finished tree (one row per branch that goes) is broadcast if it has BROADCAST_ROWS at most and joined by host otherwise.
@@ -32,6 +34,8 @@ from pyspark.sql import functions as F
 from ._tables import bounded_batches, materialise, small_enough
 
 IMPORTANCE = 0.6
+#: More than texts drawn from a pool, such as adverts, have over the pages of a host.
+NAMED_IMPORTANCE = 0.9
 BACKOFF = 20
 DAMPING = 0.9
 BROADCAST_ROWS = 50_000
@@ -39,12 +43,12 @@ BROADCAST_ROWS = 50_000
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe plaintext".split())
-NEVER = frozenset("head script style noscript template iframe object svg math canvas form button select option textarea input label fieldset nav aside footer menu dialog audio video map noembed noframes".split())
+NEVER = frozenset("head script style noscript template iframe object svg math canvas button select option textarea input label fieldset nav aside footer menu dialog audio video map noembed noframes".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
 CLOSES_P = BLOCK - frozenset("option td th tr tbody thead tfoot caption legend li dd dt head html body".split())
-#: Class and id words of blocks that are no article text.
+#: Class and id words of blocks that are no article text, unless an article in them or counts say otherwise.
 NAMED = frozenset(
     "ad ads adv advert advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay subscribe newsletter signup login social share sharing related recommended recommendations widget comment comments commentlist disqus respond reply replies toolbar pagination pager skip skiplink copyright legal disclaimer".split()
 )
@@ -53,6 +57,8 @@ _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|![^>]*(?:>|\Z)|\?[^>]*(?:>|\Z)|(/?)([a-
 _CLASS = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 _BLANKS = re.compile(r"\s+")
+#: How far a block is condemned: not, by a form around it, by a name around it, in any case.
+CLEAR, FORM, NAME, ALWAYS = range(4)
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar".split())
 
 
@@ -60,10 +66,13 @@ def _collapse(parts: list[str]) -> str:
     return _BLANKS.sub(" ", htmllib.unescape("".join(parts))).strip()
 
 
-def parse(page: str) -> list[tuple[str, bool, str]]:
-    """(path, never, text) of each block with text, in page order, and (path, never, '') of each element opened. never: it lies in an element that is no text."""
-    out: list[tuple[str, bool, str]] = []
-    stack: list[tuple[str, str, bool]] = [("", "", False)]
+def parse(page: str) -> list[tuple[str, int, str]]:
+    """(path, never, text) of each block with text, in page order, and (path, never, '') of each element opened. never: CLEAR, or how far what it lies in condemns it."""
+    out: list[tuple[str, tuple[int, ...], str]] = []
+    # of each open element, the blocks that condemn it: indexes into levels, or 0 for one that does so in any case
+    stack: list[tuple[str, str, tuple[int, ...]]] = [("", "", ())]
+    levels = [ALWAYS]
+    mains: list[tuple[int, ...]] = []
     held: list[str] = []
     at, n = 0, len(page)
 
@@ -74,7 +83,7 @@ def parse(page: str) -> list[tuple[str, bool, str]]:
                 i = len(stack) - 1
                 while i > 0 and stack[i][0] not in BLOCK:
                     i -= 1
-                out.append((stack[i][1], any(s[2] for s in stack[i:]) if i else stack[i][2], text))
+                out.append((stack[i][1], stack[-1][2] if i else (), text))
             held.clear()
 
     while at < n:
@@ -124,6 +133,7 @@ def parse(page: str) -> list[tuple[str, bool, str]]:
                 if stack[i][0] in ("ul", "ol", "dl", "table", "select", "menu"):
                     break
         names = ""
+        level = FORM if name == "form" else CLEAR
         never = name in NEVER or name == "header" and not any(s[0] in ("article", "main", "section") for s in stack)
         attributes = m.group(3)
         if attributes:
@@ -132,7 +142,8 @@ def parse(page: str) -> list[tuple[str, bool, str]]:
                 low = [w.lower() for w in _WORD.findall(got)]
                 names = "." + ".".join(sorted(set(low))[:4])
                 if name not in ("html", "body", "article", "main"):
-                    never = never or not NAMED.isdisjoint(low) or not _ROLES.isdisjoint(low)
+                    if not NAMED.isdisjoint(low) or not _ROLES.isdisjoint(low):
+                        level = NAME
             if re.search(r"(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true)|display\s*:\s*none", attributes, re.I):
                 never = True
         parent = stack[-1]
@@ -141,25 +152,42 @@ def parse(page: str) -> list[tuple[str, bool, str]]:
             end = re.compile(rf"</{name}\s*[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        stack.append((name, path if len(path) < 400 else parent[1], never or parent[2]))
+        causes = parent[2]
+        if never:
+            causes = (*causes, 0)
+        elif level:
+            # text before an inline element is not in it
+            flush()
+            causes = (*causes, len(levels))
+            levels.append(level)
+        stack.append((name, path if len(path) < 400 else parent[1], causes))
+        if name in ("article", "main") and 0 not in causes:
+            mains.append(causes)
         if name in BLOCK:
-            out.append((stack[-1][1], stack[-1][2], ""))
+            out.append((stack[-1][1], causes, ""))
     flush()
-    return out
+    least = min(map(len, mains), default=0)
+    cleared = {i for causes in mains if len(causes) == least for i in causes}
+
+    def judged(causes: tuple[int, ...]) -> int:
+        left = [levels[i] for i in causes if i not in cleared]
+        return ALWAYS if left and mains else max(left, default=CLEAR)
+
+    return [(path, judged(causes) if causes else CLEAR, text) for path, causes, text in out]
 
 
 def host_of(url: str) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1)), F.lit(""))
 
 
-def _features(page: str | None) -> tuple[str, list[tuple[str, str, bool, bool]]]:
-    """What pages that are copies of each other share, and (path, text of a leaf or style of a branch, whether it is content, whether it is the first such row of its path) of a page, each once."""
+def _features(page: str | None) -> tuple[str, list[tuple[str, str, bool, bool, int]]]:
+    """What pages that are copies of each other share, and (path, text of a leaf or style of a branch, whether it is content, whether it is the first such row of its path, how far a name or form condemns it) of a page, each once."""
     blocks = parse(page) if page else []
     out: dict = {}
     children: dict[str, list[str]] = {}
-    for path, _, text in blocks:
+    for path, never, text in blocks:
         if text:
-            out[path, text, True] = None
+            out[path, text, True] = max(out.get((path, text, True), CLEAR), never % ALWAYS)
         else:
             parent, _, own = path.rpartition("/")
             kinds = children.setdefault(parent, [])
@@ -167,22 +195,22 @@ def _features(page: str | None) -> tuple[str, list[tuple[str, str, bool, bool]]]
                 kinds.append(own)
     for path, kinds in children.items():
         if path:
-            out[path, " ".join(kinds), False] = None
+            out[path, " ".join(kinds), False] = CLEAR
     met: set = set()
     rows = []
-    for path, text, content in out:
-        rows.append((path, text, content, (path, content) not in met))
+    for (path, text, content), level in out.items():
+        rows.append((path, text, content, (path, content) not in met, level))
         met.add((path, content))
-    same = "\n".join(f"{path} {text}" for path, never, text in blocks if text and not never)
+    same = "\n".join(f"{path} {text}" for path, never, text in blocks if text and never != ALWAYS)
     return same or page or "", rows
 
 
 def style_tree(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """(host, path, importance, pages) of each branch, hosts with few pages leaning on all hosts' tree."""
+    """(host, path, importance, pages, level, named) of each branch, hosts with few pages leaning on all hosts' tree; named: importance of a leaf that a name or form (level) condemns, on its host's pages only."""
     import xxhash
 
     bounded_batches(pages.sparkSession)
-    kinds = [("path", pa.string()), ("feature", pa.int64()), ("content", pa.bool_()), ("first", pa.bool_())]
+    kinds = [("path", pa.string()), ("feature", pa.int64()), ("content", pa.bool_()), ("first", pa.bool_()), ("level", pa.int32())]
 
     def run(batches):
         for b in batches:
@@ -190,21 +218,21 @@ def style_tree(pages: DataFrame, html: str = "html", url: str = "url") -> DataFr
             for page in b.column(1).to_pylist():
                 key, found = _features(page)
                 same.append(xxhash.xxh64_intdigest(key) - 2**63)
-                rows += [(path, xxhash.xxh64_intdigest(text) - 2**63, content, first) for path, text, content, first in found]
+                rows += [(path, xxhash.xxh64_intdigest(text) - 2**63, content, first, level) for path, text, content, first, level in found]
                 ends.append(len(rows))
             cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)
             fields = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, kinds, strict=True)], [k for k, _ in kinds])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), fields)], ["host", "same", "features"])
 
-    seen = pages.select(host_of(url).alias("host"), F.col(html).alias("html")).mapInArrow(run, "host string, same long, features array<struct<path string, feature long, content boolean, first boolean>>")
+    seen = pages.select(host_of(url).alias("host"), F.col(html).alias("html")).mapInArrow(run, "host string, same long, features array<struct<path string, feature long, content boolean, first boolean, level int>>")
     once = materialise(seen.dropDuplicates(["host", "same"]), "features")
     mine = _importance(_counts(once, ["host"]), ["host"])
     all_ = _importance(_counts(once.dropDuplicates(["same"]), []), [])
     all_ = all_.select("path", _leaning("importance", "pages", F.lit(1.0)).alias("general"))
-    both = mine.join(all_, "path").select("host", "path", _leaning("importance", "pages", F.col("general")).alias("mixed"), "is_leaf", "pages")
+    both = mine.join(all_, "path").select("host", "path", _leaning("importance", "pages", F.col("general")).alias("mixed"), "is_leaf", "pages", "level", _leaning("importance", "pages", F.lit(0.0)).alias("named"))
     # a branch never goes while one of its leaves is important
     best = both.filter("is_leaf").select("host", "mixed", F.explode(_ancestors()).alias("path")).groupBy("host", "path").agg(F.max("mixed").alias("best"))
-    return both.join(best, ["host", "path"], "left").select("host", "path", F.greatest("mixed", "best").alias("importance"), "pages")
+    return both.join(best, ["host", "path"], "left").select("host", "path", F.greatest("mixed", "best").alias("importance"), "pages", "level", "named")
 
 
 def _leaning(value: str, pages: str, on: F.Column) -> F.Column:
@@ -217,23 +245,23 @@ def _ancestors() -> F.Column:
 
 
 def _counts(once: DataFrame, by: list[str]) -> DataFrame:
-    """(by, path, content, feature, n, n_first): n pages have the feature, n_first of them as their path's first, so that n_first adds up to pages."""
+    """(by, path, content, feature, n, n_first, level): n pages have the feature, n_first of them as their path's first, so that n_first adds up to pages."""
     rows = once.select(*by, F.explode("features").alias("f")).select(*by, "f.*")
-    return rows.groupBy(*by, "path", "content", "feature").agg(F.count("*").alias("n"), F.count_if("first").alias("n_first"))
+    return rows.groupBy(*by, "path", "content", "feature").agg(F.count("*").alias("n"), F.count_if("first").alias("n_first"), F.max("level").alias("level"))
 
 
 def _importance(counts: DataFrame, by: list[str]) -> DataFrame:
-    """Importance of each branch from (by, path, content, feature, n, n_first), whether it is a leaf, and its pages.
+    """Importance of each branch from (by, path, content, feature, n, n_first, level), whether it is a leaf, its pages and level.
 
     The entropy, base m, of the texts of a leaf or of the styles of a branch over its m occurrences: 1 where all differ, 0 where all are equal.
     """
     g = counts.groupBy(*by, "path", "content").agg(
-        F.sum("n").alias("m"), F.count("*").alias("k"), F.sum(F.col("n") * F.log("n")).alias("n_log_n"), F.sum("n_first").alias("pages")
+        F.sum("n").alias("m"), F.count("*").alias("k"), F.sum(F.col("n") * F.log("n")).alias("n_log_n"), F.sum("n_first").alias("pages"), F.max("level").alias("level")
     )
     log_m = F.log("m")
     entropy = F.when(F.col("m") > 1, 1 - F.col("n_log_n") / F.col("m") / log_m).otherwise(F.lit(1.0))
-    own = g.select(*by, "path", "content", "m", "k", "pages", entropy.alias("own"))
-    leaf = own.filter("content").select(*by, "path", F.col("own").alias("leaf"), F.col("m").alias("leaf_m"), F.col("pages").alias("leaf_pages"))
+    own = g.select(*by, "path", "content", "m", "k", "pages", "level", entropy.alias("own"))
+    leaf = own.filter("content").select(*by, "path", F.col("own").alias("leaf"), F.col("m").alias("leaf_m"), F.col("pages").alias("leaf_pages"), "level")
     node = own.filter("NOT content").select(*by, "path", F.col("own").alias("node"), F.col("pages").alias("node_pages"), F.col("k").alias("styles"))
     x = leaf.join(node, [*by, "path"], "full")
     # what lies below a branch: its leaves' importance by their occurrences
@@ -244,15 +272,16 @@ def _importance(counts: DataFrame, by: list[str]) -> DataFrame:
     mixed = (1 - d) * F.coalesce(F.col("node"), F.lit(0.0)) + d * F.coalesce(F.col("below"), F.lit(0.0))
     # a leaf's texts decide, not the styles of what lies beside them
     is_leaf = F.col("leaf").isNotNull()
-    return x.select(*by, "path", F.coalesce("leaf", mixed).alias("importance"), is_leaf.alias("is_leaf"), F.coalesce("leaf_pages", "node_pages").alias("pages"))
+    return x.select(*by, "path", F.coalesce("leaf", mixed).alias("importance"), is_leaf.alias("is_leaf"), F.coalesce("leaf_pages", "node_pages").alias("pages"), F.coalesce("level", F.lit(CLEAR)).alias("level"))
 
 
-def main_text(page: str | None, gone: frozenset[str] | set[str]) -> str:
+def main_text(page: str | None, gone: frozenset[str] | set[str], stays: frozenset[str] | set[str] = frozenset()) -> str:
+    """Text of a page without the branches in gone; leaves in stays are important, whatever name or form is around them."""
     if not page:
         return ""
     out = []
     for path, never, text in parse(page):
-        if text and not never and not (gone and _below(path, gone)):
+        if text and (not never or never != ALWAYS and path in stays) and not (gone and _below(path, gone)):
             out.append(text)
     return "\n".join(out)
 
@@ -270,23 +299,25 @@ def extract(pages: DataFrame, id: str = "page_id", url: str = "url", html: str =
     spark = pages.sparkSession
     bounded_batches(spark)
     tree = style_tree(pages, html, url)
-    low = tree.filter(F.col("importance") < importance).groupBy("host").agg(F.collect_set("path").alias("gone"))
+    goes = F.col("importance") < importance
+    stays = (F.col("level") > CLEAR) & (F.col("named") >= F.when(F.col("level") == FORM, importance).otherwise(NAMED_IMPORTANCE))
+    low = tree.filter(goes | stays).groupBy("host").agg(F.collect_set(F.when(goes, F.col("path"))).alias("gone"), F.collect_set(F.when(stays, F.col("path"))).alias("stays"))
     low = materialise(low, "low-branches")
     rows = pages.select(F.col(id).alias("id"), F.col(url).alias("url"), host_of(url).alias("host"), F.col(html).alias("html"))
     low = F.broadcast(low) if small_enough(low, BROADCAST_ROWS) else low
-    joined = rows.join(low, "host", "left").select("id", "url", "gone", "html")
+    joined = rows.join(low, "host", "left").select("id", "url", "gone", "stays", "html")
 
     def run(batches):
         sets: dict = {}
         for b in batches:
             texts = []
-            for gone, page in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                key = tuple(gone or ())
+            for gone, stays, page in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                key = tuple(gone or ()), tuple(stays or ())
                 if len(sets) > 1000:
                     sets.clear()
                 if key not in sets:
-                    sets[key] = frozenset(key)
-                texts.append(main_text(page, sets[key]))
+                    sets[key] = frozenset(key[0]), frozenset(key[1])
+                texts.append(main_text(page, *sets[key]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
 
     kind = dict(pages.dtypes)[id]

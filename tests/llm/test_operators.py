@@ -342,6 +342,25 @@ def test_main_text_of_a_page():
     assert siteview.main_text(None, frozenset()) == siteview.main_text("", frozenset()) == ""
 
 
+@pytest.mark.parametrize("wrapper", ['<div class="layout has-sidebar">', '<div id="no-ads">', '<div class="with-menu">', '<form id="page">', '<div role="search"><form>'])
+def test_a_name_or_form_around_the_article_condemns_nothing(wrapper):
+    page = f"<body>{wrapper}<div class=sidebar>Side</div><article><p>Text <span class=ad>Buy</span> goes on</p></article><div class=related><article>Other</article></div></body>"
+    assert siteview.main_text(page, frozenset()) == "Text\ngoes on"
+    assert siteview.main_text("<body><div class=related><article>Other</article></div><main><p>Text</p></main></body>", frozenset()) == "Text"
+
+
+def test_counts_overrule_a_name_or_form(spark):
+    rng = random.Random(7)
+    text = [prose(rng, 30) for _ in range(400)]
+    adverts = [prose(rng, 5) for _ in range(40)]
+    # a form around each page's text, a named block around it, and adverts of a pool
+    rows = [(0, f"<body><form><p>{x}</p><div>Log in</div></form></body>") for x in text[:60]]
+    rows += [(1, f"<body><div class=notice><p>{x}</p></div><div class=ad>{rng.choice(adverts)}</div></body>") for x in text[60:]]
+    pages = spark.createDataFrame([(i, f"http://h{h}.example/{i}", page) for i, (h, page) in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in siteview.extract(pages).collect()}
+    assert [got[i] for i in range(400)] == text
+
+
 def test_style_tree_finds_repeated_branches(spark):
     rng = random.Random(5)
     rows = [(i, f"http://h{i % 2}.example/{i}", f"<body><div class=top>Welcome to us</div><div class=main><p>{prose(rng, 30)}</p></div><div class=tail>{rng.choice(['Call now', 'Write us'])}</div></body>") for i in range(80)] + [(80, None, None), (81, "http://h0.example/", "")]
