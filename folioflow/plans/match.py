@@ -164,6 +164,12 @@ def normalised_text(spark, sf):
     return read(spark, sf, "documents").select("doc_id", tx.normalise(t).alias("normal"), tx.fold_confusions(F.upper(tx.strip_accents(t))).alias("folded"), tx.slug(t, 400).alias("words"))
 
 
+@query("""SELECT doc_id, trim(regexp_replace(upper(replace(strip_accents(text), 'ß', 'SS')), '\\s+', ' ', 'g')) AS normal, translate(replace(upper(replace(strip_accents(text), 'ß', 'SS')), 'RN', 'M'), '01568|', 'OISGBI') AS folded, trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', '-', 'g'), '-') AS words FROM documents""")
+def normalised_whole_text(spark, sf):
+    # a slug has a letter or two for each letter of text
+    return read(spark, sf, "documents").select("doc_id", tx.normalise("text").alias("normal"), tx.fold_confusions(F.upper(tx.strip_accents("text"))).alias("folded"), tx.slug("text", 2**31 - 1).alias("words"))
+
+
 @query("WITH x AS (SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'No. ' || o_custkey || '-1998.' WHEN 1 THEN ' n° ' || o_custkey || ' ;' WHEN 2 THEN 'SIN CODIGO' ELSE 're ' || o_custkey END AS raw FROM orders) SELECT id, CASE o.m WHEN 0 THEN c || '-1998' WHEN 1 THEN c WHEN 3 THEN 'RE' || c END AS code FROM x JOIN (SELECT o_orderkey AS k, o_orderkey % 4 AS m, CAST(o_custkey AS VARCHAR) AS c FROM orders) o ON o.k = id")
 def parsed_codes(spark, sf):
     o = read(spark, sf, "orders")
