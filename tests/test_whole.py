@@ -10,3 +10,9 @@ def test_whole_texts_are_normalised(spark, tmp_path):
     assert r.normal == ("ANO 1 | CORN " * 100).strip()
     assert r.folded == "ANO I I COM " * 100
     assert r.words == "-".join(["ano-1-corn"] * 100)
+
+
+def test_orders_of_all_customers_are_numbered(spark, sf):
+    got = plans.QUERIES["all_numbered_by_date"](spark, sf)
+    assert got.count() == spark.read.parquet(f"{sf}/orders.parquet").count()
+    assert got.select("customer", "number").distinct().count() == got.count()
