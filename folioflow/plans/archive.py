@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import consensus as cs
@@ -103,6 +104,16 @@ def natural_name_order(spark, sf):
     return docs(spark, sf).orderBy(*lg.sort_key("name")).limit(200).select("job_id", "name")
 
 
+@query(f"WITH {DOC} SELECT job_id, name, row_number() OVER (ORDER BY lpad(regexp_extract(name, '[0-9]+'), 10, '0'), name, at_ DESC, job_id DESC) AS place FROM doc")
+def natural_name_places(spark, sf):
+    # places within runs of names that begin alike, behind the rows of all runs before: no task sorts all rows
+    d = docs(spark, sf).withColumn("_run", F.coalesce(F.substring(lg.sort_key("name")[0], 1, 7), F.lit("")))
+    before = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = d.groupBy("_run").agg(F.count("*").alias("_n")).select("_run", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_run").orderBy(*lg.sort_key("name"))) + F.col("_before")
+    return d.join(runs, "_run").select("job_id", "name", place.cast("long").alias("place"))
+
+
 @query(f"WITH {DOC} SELECT job_id, n_pages FROM doc ORDER BY n_pages DESC, at_ DESC, job_id DESC LIMIT 100")
 def largest_documents(spark, sf):
     return docs(spark, sf).orderBy(*lg.sort_key("pages")).limit(100).select("job_id", "n_pages")

@@ -16,3 +16,10 @@ def test_orders_of_all_customers_are_numbered(spark, sf):
     got = plans.QUERIES["all_numbered_by_date"](spark, sf)
     assert got.count() == spark.read.parquet(f"{sf}/orders.parquet").count()
     assert got.select("customer", "number").distinct().count() == got.count()
+
+
+def test_all_names_have_a_place(spark, sf):
+    got = plans.QUERIES["natural_name_places"](spark, sf).orderBy("place").collect()
+    assert len(got) == spark.read.parquet(f"{sf}/orders.parquet").count() > 200
+    assert [r.place for r in got] == list(range(1, len(got) + 1))
+    assert [r.job_id for r in got] == sorted(r.job_id for r in got)
