@@ -100,7 +100,7 @@ def corrected_by_known_codes(spark, sf):
     o = read(spark, sf, "orders")
     code = F.lpad((F.col("o_orderkey") * 7919 % 1000000).cast("string"), 6, "0")
     read_ = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.substring(code, 1, 2), F.lit("9"), F.substring(code, 4, 3))).otherwise(code)
-    return mt.closest_known(o.select("o_orderkey", read_.alias("code")), o.filter("o_orderkey % 5 = 0").select(code.alias("code")), 1)
+    return mt.closest_known(o.select("o_orderkey", read_.alias("code")), o.select(code.alias("code")), 1)
 
 
 @query("WITH p AS (SELECT o_orderkey AS unit, o_custkey AS page_number, 'cc ' || (1000000 + o_custkey) || ' y ' || (1000000 + o_orderkey % 900) AS text FROM orders), i AS (SELECT DISTINCT unit, page_number, unnest(regexp_extract_all(text, '\\b(\\d{6,10})\\b', 1)) AS person_id FROM p) SELECT person_id, unit, count(DISTINCT page_number) AS n_pages FROM i WHERE person_id IN (SELECT CAST(1000000 + c_custkey AS VARCHAR) FROM customer WHERE c_custkey % 10 = 0) GROUP BY ALL")
@@ -111,6 +111,13 @@ def mentioned_people(spark, sf):
     return mt.mentions(p, people)
 
 
+@query("WITH p AS (SELECT o_orderkey AS unit, o_custkey AS page_number, 'cc ' || (1000000 + o_custkey) || ' y ' || (1000000 + o_orderkey % 900) AS text FROM orders), i AS (SELECT DISTINCT unit, page_number, unnest(regexp_extract_all(text, '\\b(\\d{6,10})\\b', 1)) AS person_id FROM p) SELECT person_id, unit, count(DISTINCT page_number) AS n_pages FROM i WHERE person_id IN (SELECT CAST(1000000 + c_custkey AS VARCHAR) FROM customer) GROUP BY ALL")
+def all_mentioned_people(spark, sf):
+    o = read(spark, sf, "orders")
+    p = o.select(F.col("o_orderkey").alias("unit"), F.col("o_custkey").alias("page_number"), F.concat(F.lit("cc "), (1000000 + F.col("o_custkey")).cast("string"), F.lit(" y "), (1000000 + F.col("o_orderkey") % 900).cast("string")).alias("text"))
+    return mt.mentions(p, read(spark, sf, "customer").select((1000000 + F.col("c_custkey")).cast("string").alias("person_id")))
+
+
 @query("SELECT o_orderkey AS id, o_custkey AS code FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
 def copies_outside_series(spark, sf):
     return mt.outside(read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("code")), read(spark, sf, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("code")), "code")

@@ -23,3 +23,32 @@ def test_all_names_have_a_place(spark, sf):
     assert len(got) == spark.read.parquet(f"{sf}/orders.parquet").count() > 200
     assert [r.place for r in got] == list(range(1, len(got) + 1))
     assert [r.job_id for r in got] == sorted(r.job_id for r in got)
+
+
+def test_people_of_all_numbers_are_found(spark, sf):
+    got = {int(r.person_id) % 10 for r in plans.QUERIES["all_mentioned_people"](spark, sf).select("person_id").distinct().collect()}
+    assert got == set(range(10))
+
+
+def within_one(a, b):
+    """Optimal string alignment distance of at most 1."""
+    if a == b:
+        return True
+    if len(a) == len(b):
+        odd = [i for i in range(len(a)) if a[i] != b[i]]
+        return len(odd) == 1 or len(odd) == 2 and odd[1] == odd[0] + 1 and a[odd[0]] == b[odd[1]] and a[odd[1]] == b[odd[0]]
+    long, short = sorted((a, b), key=len, reverse=True)
+    return len(long) == len(short) + 1 and any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
+
+
+def test_codes_are_corrected_by_all_known_ones(spark, tmp_path):
+    keys = list(range(1, 400))
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    known = {k: str(k * 7919 % 1000000).zfill(6) for k in keys}
+    want = {}
+    for k, code in known.items():
+        read = code[:2] + "9" + code[3:] if k % 4 == 0 else code
+        near = [x for x in known.values() if within_one(read, x)]
+        want[k] = (read, read if read in near else near[0] if len(near) == 1 else None)
+    got = {r.o_orderkey: (r.code, r.corrected) for r in plans.QUERIES["corrected_by_known_codes"](spark, str(tmp_path)).collect()}
+    assert got == want
