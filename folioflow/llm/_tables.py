@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_written: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Where it is unset, a local session gets a folder of its own; a cluster must name one."""
     sc = spark.sparkContext
@@ -22,10 +25,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A folder for an intermediate table, known to clean()."""
+    path = f"{shared_dir(spark).rstrip('/')}/folioflow/{name}"
+    _written.append(path)
+    return path
+
+
+def clean(spark: SparkSession) -> int:
+    """Deletes the intermediate tables that this session has written, once no result that reads them is needed any more; their number."""
+    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += path.getFileSystem(conf).delete(path, True)
+    return n
+
+
 def materialise(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage is cut, and rows and partition numbers in it no longer change."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/folioflow/{uuid.uuid4().hex}-{name}"
+    path = folder(spark, f"{uuid.uuid4().hex}-{name}")
     writer = df.write.option("compression", "zstd")
     if rows_per_file:
         writer = writer.option("maxRecordsPerFile", rows_per_file)

@@ -14,12 +14,18 @@ A byte goes if it lies in a string of `least` bytes that also starts in a docume
    and the sorted lists of the shards are merged by binary search; a shard hears which of its classes start in a smaller document.
 5. Removed stretches return to the blocks.
 
-Blobs of packed numbers travel, not a row per place. No key is gathered: a class is one entry for each shard that has it.
+Blobs of packed numbers travel, not a row per place, and a block sends only to the buckets and shards that it has something for. No key
+is gathered: a class is one entry for each shard that has it.
+
+Regions are taken as equal by their bytes. The class of a string of `least` bytes is known in other shards by its fingerprint, a
+polynomial over random odd letters: two given strings of 128 bytes or fewer share it with probability 2**-29 at most for the most regular
+ones (Thue-Morse words and their swaps), 2**-60 or so for others. Longer strings are never compared by a fingerprint.
 
 Ids are integers.
 
 Defined cases: null and empty texts have no bytes; texts shorter than `least` are never cut; rows with equal ids don't cut each other,
-and each has its own result; ties in a class within the smallest document all stay; an empty table gives no rows.
+and each has its own result; ties in a class within the smallest document all stay; an empty table gives no rows; other columns are read
+only where `keep` names them, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._grams import Rolling, window_least
-from ._tables import bounded_batches, shared_dir
+from ._tables import bounded_batches, folder
 from ._words import U, mix, utf8
 from .suffix import MOST, common_prefixes, suffix_array
 
@@ -45,6 +51,8 @@ LEAST = 50
 _CUT = 24
 _ANCHOR_BYTES, _CLASS_BYTES = 4, 7
 _BLOCKS_OF_A_SALT = 16
+#: Files that blocks are bucketed into, at most; a file then has several blocks.
+MOST_FILES = 4096
 
 
 def _gram(least: int) -> int:
@@ -88,10 +96,12 @@ def _low(fp: np.ndarray, width: int) -> np.ndarray:
     return fp & U((1 << (8 * width)) - 1)
 
 
-def _split(order_by: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order that groups by bucket and keeps order within, ends of the buckets)."""
-    order = np.argsort(order_by, kind="stable")
-    return order, np.searchsorted(order_by[order], np.arange(n + 1))
+def _split(keys: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(key, its places in their order) for each key that occurs."""
+    order = np.argsort(keys, kind="stable")
+    k = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    return [(int(k[a]), order[a:z]) for a, z in zip(first.tolist(), [*first[1:].tolist(), len(k)], strict=False)]
 
 
 def _is_in(x: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -130,8 +140,8 @@ class _Block:
         self.fp = cat(fps, U)
 
 
-def make_blocks(df: DataFrame, id: str, text: str, buckets: int) -> DataFrame:
-    """(block, ids, ends, data): rows of df in their order, packed; written bucketed by block."""
+def make_blocks(df: DataFrame, id: str, text: str, files: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(block, ids, ends, data, rest): rows of df in their order, packed; written bucketed by block. rest: the columns of keep, as JSON."""
     spark = df.sparkSession
     bounded_batches(spark)
     kind = dict(df.dtypes)[id]
@@ -147,15 +157,17 @@ def make_blocks(df: DataFrame, id: str, text: str, buckets: int) -> DataFrame:
             ids = pa.concat_arrays([h[0] for h in held])
             data = b"".join(h[1].tobytes() for h in held)
             ends = np.cumsum(np.concatenate([h[2] for h in held]))
-            held, size, number = [], 0, number + 1
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.ListArray.from_arrays(pa.array([0, len(ends)], pa.int32()), pa.array(ends, pa.int64())), pa.array([data], pa.binary())], ["block", "ids", "ends", "data"])
+            held_now, held, size, number = held, [], 0, number + 1
+            rest = pa.concat_arrays([h[3] for h in held_now])
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (ids, pa.array(ends, pa.int64()), rest)]
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), lists[0], lists[1], pa.array([data], pa.binary()), lists[2]], ["block", "ids", "ends", "data", "rest"])
 
         for b in batches:
             raw, at = utf8(b.column(1))
             i = 0
             while i < b.num_rows:
                 j = max(i + 1, int(np.searchsorted(at, at[i] + max(BLOCK_BYTES - size, 1), "right")) - 1)
-                held.append((b.column(0).slice(i, j - i), raw[at[i] : at[j]].copy(), np.diff(at[i : j + 1])))
+                held.append((b.column(0).slice(i, j - i), raw[at[i] : at[j]].copy(), np.diff(at[i : j + 1]), b.column(2).slice(i, j - i)))
                 size += int(at[j] - at[i])
                 i = j
                 if size >= BLOCK_BYTES or sum(len(h[2]) for h in held) >= 50_000:
@@ -163,11 +175,15 @@ def make_blocks(df: DataFrame, id: str, text: str, buckets: int) -> DataFrame:
         if held:
             yield out()
 
-    schema = f"block long, ids array<{kind}>, ends array<long>, data binary"
+    schema = f"block long, ids array<{kind}>, ends array<long>, data binary, rest array<string>"
     name = f"blocks_{uuid.uuid4().hex}"
-    packed = df.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
-    packed.write.option("compression", "zstd").option("path", f"{shared_dir(spark).rstrip('/')}/folioflow/{name}").bucketBy(buckets, "block").saveAsTable(name)
-    return spark.table(name)
+    rest = F.to_json(F.struct(*keep)) if keep else F.lit(None).cast("string")
+    packed = df.select(F.col(id).alias("id"), F.col(text).alias("text"), rest.alias("rest")).mapInArrow(run, schema)
+    packed.write.option("compression", "zstd").option("path", folder(spark, name)).bucketBy(files, "block").saveAsTable(name)
+    out = spark.table(name)
+    # its files stay; what was read of the catalog is known from here on
+    spark.sql(f"DROP TABLE {name}")
+    return out
 
 
 def _block_of(row: dict, least: int) -> _Block:
@@ -182,9 +198,7 @@ def _anchors(blocks: DataFrame, least: int, buckets: int) -> DataFrame:
             for row in b.to_pylist():
                 x = np.sort(_block_of(row, least).fp)
                 x = x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
-                order, ends = _split(_bucket(x, buckets), buckets)
-                x = _low(x[order], _ANCHOR_BYTES)
-                out = [(k, row["block"], _narrow(x[ends[k] : ends[k + 1]], _ANCHOR_BYTES)) for k in range(buckets) if ends[k] < ends[k + 1]]
+                out = [(k, row["block"], _narrow(_low(x[i], _ANCHOR_BYTES), _ANCHOR_BYTES)) for k, i in _split(_bucket(x, buckets))]
                 yield pa.RecordBatch.from_pylist([dict(zip(("bucket", "block", "fps"), o, strict=True)) for o in out], pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("fps", pa.binary())]))
 
     return blocks.select("block", "ends", "data").mapInArrow(run, "bucket int, block long, fps binary")
@@ -287,24 +301,18 @@ def _regions_of(row: dict, shared: pa.Table, least: int, buckets: int, shards: i
     local = np.zeros(len(first), np.int64)
     where = np.flatnonzero(b.fp[use] == np.repeat(key, np.diff(np.append(first, len(use)))))
     local[np.searchsorted(first, where, "right") - 1] = wide[use][where]
-    roll = Rolling(b.raw)
-    same = np.stack([roll.total[end] - roll.total[begin]]).ravel() * roll.down[begin]
+    raw = b.raw.tobytes()
+    known, owner = np.zeros(len(first), bool), {}
+    for i in np.argsort(ids[at], kind="stable").tolist():
+        known[i] = ids[at[i]] > owner.setdefault(raw[begin[i] : end[i]], ids[at[i]])
     size = end - begin
-    order = np.lexsort((ids[at], size, same))
-    head = np.concatenate([[True], (same[order][1:] != same[order][:-1]) | (size[order][1:] != size[order][:-1])])
-    owner = ids[at[order]][np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
-    known = np.zeros(len(order), bool)
-    known[order] = ids[at[order]] > owner
     salt = np.maximum(1, (1 << local) // _BLOCKS_OF_A_SALT).astype(U)
     mixed = mix(key ^ ((U(row["block"] % 2**63) % salt) * U(0xD6E8FEB86659FD93)))
     shard = ((mixed >> U(32)) % U(shards)).astype(np.int32)
-    raw, start = b.raw.tobytes(), begin - b.starts[at]
-    order, ends = _split(shard, shards)
+    start = begin - b.starts[at]
     out = []
-    for k in range(shards):
-        i = order[ends[k] : ends[k + 1]]
-        if len(i):
-            out.append((k, row["block"], _seal(at[i], ids[at[i]], start[i], size[i], known[i], [raw[begin[j] : end[j]] for j in i if not known[j]])))
+    for k, i in _split(shard):
+        out.append((k, row["block"], _seal(at[i], ids[at[i]], start[i], size[i], known[i], [raw[begin[j] : end[j]] for j in i if not known[j]])))
     return pa.Table.from_pylist([dict(zip(_SEALED.names, x, strict=True)) for x in out], _SEALED)
 
 
@@ -401,14 +409,11 @@ def _classes(regions: DataFrame, least: int, buckets: int) -> DataFrame:
             first = np.sort(first)
             fp = Rolling(raw).at(place[first] - low, least)
             doc = region[first]
-            order, ends = _split(_bucket(fp, buckets), buckets)
-            fp, doc = _low(fp[order], _CLASS_BYTES), s.ids[doc[order]]
-            for k in range(buckets):
-                a, z = ends[k], ends[k + 1]
-                if a < z:
-                    d = doc[a:z]
-                    h = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-                    rows.append((k, number, part, _steps(d[h]), _pack(np.diff(np.append(h, len(d)))), _narrow(fp[a:z], _CLASS_BYTES)))
+            low_fp, doc = _low(fp, _CLASS_BYTES), s.ids[doc]
+            for k, at in _split(_bucket(fp, buckets)):
+                d = doc[at]
+                h = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+                rows.append((k, number, part, _steps(d[h]), _pack(np.diff(np.append(h, len(d)))), _narrow(low_fp[at], _CLASS_BYTES)))
         out = pa.Table.from_pylist([dict(zip(_CLASS_SCHEMA.names[:6], r, strict=True)) for r in rows], _CLASS_SCHEMA)
         t = s.intervals(known)
         extra = pa.table({"bucket": pa.array([-1 - number] * len(known), pa.int32()), "shard": pa.array([number] * len(known), pa.int32()), "part": pa.nulls(len(known), pa.int32()), "ids": pa.nulls(len(known), pa.binary()), "counts": pa.nulls(len(known), pa.binary()), "fps": pa.nulls(len(known), pa.binary()), **{n: t.column(n) for n in ("block", "row", "start", "length")}})
@@ -484,7 +489,7 @@ def _stretches(regions: DataFrame, answers: DataFrame, least: int, buckets: int)
 
 
 def _cut(blocks: DataFrame, gone: DataFrame, kind: str, with_text: bool) -> DataFrame:
-    names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
+    names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "rest"]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         cuts: dict[int, list] = {}
@@ -501,12 +506,12 @@ def _cut(blocks: DataFrame, gone: DataFrame, kind: str, with_text: bool) -> Data
                 if with_text:
                     whole = [(_forward(body, s), _back(body, e)) for s, e in spans]
                     text = _without(body, [(s, e) for s, e in whole if s < e]).decode()
-                for c, v in zip(cols, (x["ids"][r], len(body), sum(e - s for s, e in spans), len(spans), hashlib.sha256(kept).hexdigest(), text), strict=True):
+                for c, v in zip(cols, (x["ids"][r], len(body), sum(e - s for s, e in spans), len(spans), hashlib.sha256(kept).hexdigest(), text, x["rest"][r]), strict=True):
                     c.append(v)
-        types = (left.schema.field("ids").type.value_type, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        types = (left.schema.field("ids").type.value_type, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
         return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
-    return blocks.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    return blocks.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, rest string")
 
 
 def _without(body: bytes, spans) -> bytes:
@@ -541,18 +546,20 @@ def _back(body: bytes, at: int) -> int:
     return at
 
 
-def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", least: int = LEAST, with_text: bool = False) -> DataFrame:
-    """A row per row of df: id, n_bytes, n_removed, n_spans, kept_sha256; kept_text (only whole characters go) if asked for."""
+def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", least: int = LEAST, with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row per row of df: id, n_bytes, n_removed, n_spans, kept_sha256; kept_text (only whole characters go) if asked for; the columns of keep."""
     if least < 8:
         raise ValueError("strings of 8 bytes at least")
     kind = dict(df.dtypes)[id]
     total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n = max(1, math.ceil(total / BLOCK_BYTES))
-    blocks = make_blocks(df, id, text, n)
+    blocks = make_blocks(df, id, text, min(n, MOST_FILES), keep)
     buckets, shards = n, n
     shared = _shared_anchors(_anchors(blocks, least, buckets))
     regions = _regions(blocks, shared, least, buckets, shards)
     gone = _stretches(regions, _merge_classes(_classes(regions, least, buckets)), least, buckets)
     out = _cut(blocks, gone, kind, with_text)
-    out = out.withColumnRenamed("id", id)
-    return out if with_text else out.drop("kept_text")
+    rest = [f"{c} {dict(df.dtypes)[c]}" for c in keep]
+    out = out.withColumn("rest", F.from_json("rest", ", ".join(rest))) if keep else out
+    names = [F.col("id").alias(id), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if with_text else []), *(F.col("rest")[c].alias(c) for c in keep)]
+    return out.select(*names)
