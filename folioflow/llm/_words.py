@@ -1,12 +1,14 @@
 """Words and shingles of Arrow string columns as numpy arrays, without Python strings.
 
-Words are maximal runs of bytes other than 0x20 and 0x09-0x0D; A-Z count as a-z. A word's hash is a polynomial over random 64-bit
-letters modulo 2**64 with an odd base, so it comes from a running sum; a mixer spreads it. Equal words have equal hashes, and 64-bit
-hashes stand for words and shingles.
+Words are maximal runs of bytes other than 0x20 and 0x09-0x0D; A-Z count as a-z. The hash of a word of SHORT bytes at most is a
+polynomial over random 64-bit letters modulo 2**64 with an odd base, so it comes from a running sum; a mixer spreads it. Such a
+polynomial says little about long regular strings (it is 0 for differences like the Thue-Morse word of 1024 letters), so longer words,
+which are rare, are hashed one by one with a keyed BLAKE2. Equal words have equal hashes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +23,9 @@ _STEP = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 2**64)
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
+#: Bytes of words whose hash is a polynomial.
+SHORT = 32
+_KEY = b"words"
 #: Bytes that are worked on at once; a longer text is worked on alone.
 CHUNK = 1 << 20
 
@@ -95,9 +100,27 @@ def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     # a word's letters are all up to the next word's start
     end = np.append(begin[1:], n)
     h = mix((total[end] - total[begin]) * down[begin])
+    if len(begin) and n > SHORT:
+        stops = np.zeros(n, bool)
+        stops[-1] = inside[-1]
+        np.logical_and(inside[:-1], ~inside[1:] | starts[1:], out=stops[:-1])
+        last = np.flatnonzero(stops) + 1
+        for i in np.flatnonzero(last - begin > SHORT).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(raw[begin[i] : last[i]].tobytes().lower(), digest_size=8, key=_KEY).digest(), "little")
     return h, np.searchsorted(begin, at)
 
 
+def normalised(text: bytes) -> bytes:
+    """Words of a text, A-Z as a-z, with a blank between: equal for equal sequences of words only."""
+    return b" ".join(text.lower().split())
+
+
+def real_shingles(text: bytes, k: int) -> set:
+    """The shingles themselves, as tuples of words."""
+    w = text.lower().split()
+    return set(zip(*(w[i:] for i in range(k)), strict=False)) if len(w) >= k else {tuple(w)} if w else set()
+
+
 def shingles(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, first of each row and the end) of k-word shingles; a row with fewer words has its whole sequence as one, an empty row none."""
     n, rows = len(h), len(first) - 1

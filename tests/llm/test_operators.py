@@ -160,7 +160,7 @@ def brute_groups(rows, k, percent):
 
     for i, j in combinations(range(len(rows)), 2):
         common = len(sets[i] & sets[j])
-        if rows[i][0] == rows[j][0] or common and 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+        if common and 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
             up[top(i)] = top(j)
     least = {}
     for i in range(len(rows)):
@@ -388,3 +388,77 @@ def test_style_tree_drops_a_hosts_own_text_on_a_path_that_is_text_elsewhere(spar
     got = {r.page_id: r.text for r in siteview.extract(pages).collect()}
     for i, (_, page) in enumerate(rows):
         assert got[i] == "\n".join(x for x in re.findall(r"<(?:p|td)>(.*?)</", page) if not x.startswith("We are"))
+
+
+# hashes, hot groups and repeated ids
+
+
+def thue_morse(n, letters):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_long_regular_words_stay_apart(spark):
+    a, b = thue_morse(4096, "ab"), thue_morse(4096, "ba")
+    assert [r.component_id for r in minhash.near_duplicates(table(spark, [a, b, a])).orderBy("doc_id").collect()] == [0, 1, 0]
+    rows = [(0, a), (1, b), (2, "x" + a)]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == brute_repeats(rows, 50)
+
+
+def test_a_large_group_near_but_mostly_under_the_threshold(spark, monkeypatch):
+    # each text differs from the base in its own 12 of 160 words: some pairs are linked, most are not, all share bands
+    rng = random.Random(21)
+    base = prose(rng, 160).split()
+    texts = []
+    for _ in range(300):
+        w = list(base)
+        for i in rng.sample(range(160), rng.choice((2, 3, 4, 6))):
+            w[i] = f"own{rng.random()}"
+        texts.append(" ".join(w))
+    rows = list(enumerate(texts))
+    monkeypatch.setattr(minhash, "TILE", 64)
+    monkeypatch.setattr(minhash, "WEIGHT", 8000)
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=3, percent=85)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == brute_groups(rows, 3, 85)
+
+
+def test_tile_links_equal_brute_force():
+    rng = np.random.default_rng(4)
+    for percent in (60, 85):
+        sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(60)]
+        index = minhash._Index(sets)
+        for x in range(60):
+            got = set(index.linked(sets[x], np.ones(60, bool), percent))
+            want = {y for y in range(60) if 100 * len(np.intersect1d(sets[x], sets[y])) >= percent * len(np.union1d(sets[x], sets[y]))}
+            assert got == want
+
+
+def test_repeated_ids_are_judged_by_their_own_texts(spark):
+    rng = random.Random(8)
+    a, b = prose(rng, 80), prose(rng, 80)
+    rows = [(1, a), (1, b), (2, a), (3, b.upper()), (3, None), (1, a)]
+    got = sorted((r.doc_id, r.n_shingles > 0, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, True, 1), (1, True, 1), (1, True, 1), (2, True, 1), (3, False, 3), (3, True, 1)]
+
+
+def test_kept_columns_follow_their_rows(spark):
+    rows = [(1, "x" * 60, "en", None), (1, "y" * 60, None, "s2"), (2, "x" * 70, 'a"b', "s3")]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, lang string, block string"), keep=("lang", "block"), with_text=True)
+    assert sorted(((r.doc_id, r.kept_text, r.lang, r.block) for r in got.collect()), key=str) == [(1, "x" * 60, "en", None), (1, "y" * 60, None, "s2"), (2, "", 'a"b', "s3")]
+
+
+def test_many_more_buckets_than_rows_are_no_loop(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", 3)
+    text = prose(random.Random(3), 40_000)
+    rows = [(0, text), (1, text[1000:3000])]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.n_removed) for r in got.collect()) == [(0, 0), (1, 2000)]
+
+
+def test_clean_deletes_what_was_written(spark):
+    from folioflow.llm import _tables
+
+    x = _tables.materialise(spark.range(3), "x")
+    assert x.count() == 3
+    assert _tables.clean(spark) > 0
+    assert _tables._written == []
