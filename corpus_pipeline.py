@@ -26,18 +26,23 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates (five words, similarity 0.8), once."""
-    found = minhash.near_duplicates(docs)
-    kept = found.filter("kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """The document with the smallest id of each group of near duplicates (five words, similarity 0.8), once.
+
+    Each row is judged by its own text, so rows that repeat an id stay if their texts are unlike. Of a group's rows with its smallest id,
+    those with the least digest of their words are the ones to stay, and of these one, by its other columns; without words, a row stays.
+    """
+    found = minhash.components(docs)
+    kept = found.filter("id = component_id AND first").select(F.col("id").alias("doc_id"), F.col("digest").alias("_digest")).distinct()
+    rows = docs.select(*COLUMNS, minhash.words_digest("text").alias("_digest")).join(kept, ["doc_id", "_digest"], "left_semi")
+    rest = [c for c in COLUMNS if c != "doc_id"]
+    return rows.groupBy("doc_id", "_digest").agg(F.min(F.struct(*rest)).alias("r")).select("doc_id", *[F.col("r")[c].alias(c) for c in rest])
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without strings of LEAST_REPEAT bytes that start in an earlier document, cut between characters; texts that go wholly go."""
-    found = repeats.remove_repeats(docs, least=LEAST_REPEAT, with_text=True).select("doc_id", F.col("kept_text").alias("text"), "n_removed")
-    rest = docs.select("doc_id", "lang", "source").dropDuplicates(["doc_id"])
-    out = found.filter("n_removed = 0 OR length(trim(text)) > 0").join(rest, "doc_id")
-    return out.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    found = repeats.remove_repeats(docs, least=LEAST_REPEAT, with_text=True, keep=("lang", "source"))
+    out = found.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"), "n_removed")
+    return out.filter("n_removed = 0 OR length(trim(text)) > 0").drop("n_removed")
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
