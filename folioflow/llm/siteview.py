@@ -6,7 +6,9 @@ and texts repeat from page to page has low entropy and so low importance; one th
 branch = (1 - D**n) of its own part + D**n of its children's mean (n: number of styles seen), as in site style trees; a leaf has the
 entropy of its texts. Hosts with few pages lean on the merged tree of all hosts (weight BACKOFF pages), so a menu is known as one on a
 host's only page too; where a host has enough pages its own counts decide, whatever the path is elsewhere. All hosts' tree in its turn
-leans on 1 (weight BACKOFF pages), so a branch that few pages have stays. Pages of a host with the same text outside the elements that
+leans on 1 (weight BACKOFF pages), so a branch that few pages have stays. A leaf is no more important than its texts are rare: 1 where no
+other page has them on that branch, 0 where all pages of all hosts do (logarithms of counts, as in the entropy). So texts dealt from a
+pool to many hosts, such as adverts, go even where a host shows each but once. Pages of a host with the same text outside the elements that
 go anyway count once, and once over all hosts, so copies do not lower importance.
 
 Branches below IMPORTANCE go, with all below them. Elements that are never an article's text by HTML's own meaning (scripts, styles,
@@ -16,7 +18,8 @@ main element (of several, those in the fewest such blocks) is not condemned by i
 counts, leaning on 0 (weight BACKOFF pages), are above IMPORTANCE in a form and NAMED_IMPORTANCE in a named block. The rest is the text.
 
 The tree's counts are pre-aggregated per task, so a host with a third of all pages is no hot key; texts of leaves are counted by hash.
-The finished tree (one row per branch that goes) is broadcast if it has BROADCAST_ROWS at most and joined by host otherwise.
+The finished tree (a row per host, with the branches that go or stay) is broadcast if it has BROADCAST_BYTES at most and joined by host
+otherwise.
 
 Defined cases: null and empty pages have the text '' ; pages without a host form one host; repeated pages each get a row; broken
 markup is read leniently (unclosed and stray tags, cut ends); an empty table gives no rows.
@@ -24,6 +27,7 @@ markup is read leniently (unclosed and stray tags, cut ends); an empty table giv
 
 from __future__ import annotations
 
+import hashlib
 import html as htmllib
 import re
 
@@ -31,14 +35,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import bounded_batches, materialise, small_enough
+from ._tables import bounded_batches, materialise
 
 IMPORTANCE = 0.6
 #: More than texts drawn from a pool, such as adverts, have over the pages of a host.
 NAMED_IMPORTANCE = 0.9
 BACKOFF = 20
 DAMPING = 0.9
-BROADCAST_ROWS = 50_000
+#: Bytes of the branches that a broadcast may hold.
+BROADCAST_BYTES = 32_000_000
+#: Open elements beyond which a branch counts with the one around it, and letters beyond which names are told apart by a hash.
+DEPTH = 200
+#: Last step of the path of an element's own texts, so that they can go without what else is in it.
+LEAF = "/#"
+LONG_NAME = 80
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,7 +63,7 @@ NAMED = frozenset(
     "ad ads adv advert advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay subscribe newsletter signup login social share sharing related recommended recommendations widget comment comments commentlist disqus respond reply replies toolbar pagination pager skip skiplink copyright legal disclaimer".split()
 )
 
-_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|![^>]*(?:>|\Z)|\?[^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z))", re.S)
+_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|![^>]*(?:>|\Z)|\?[^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?=>|\Z)|[^>]*)(?:>|\Z))", re.S)
 _CLASS = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 _BLANKS = re.compile(r"\s+")
@@ -83,7 +93,7 @@ def parse(page: str) -> list[tuple[str, int, str]]:
                 i = len(stack) - 1
                 while i > 0 and stack[i][0] not in BLOCK:
                     i -= 1
-                out.append((stack[i][1], stack[-1][2] if i else (), text))
+                out.append((stack[i][1] + LEAF, stack[-1][2] if i else (), text))
             held.clear()
 
     while at < n:
@@ -140,7 +150,9 @@ def parse(page: str) -> list[tuple[str, int, str]]:
             got = " ".join(x or y or z for x, y, z in _CLASS.findall(attributes))
             if got:
                 low = [w.lower() for w in _WORD.findall(got)]
-                names = "." + ".".join(sorted(set(low))[:4])
+                names = "." + ".".join(sorted(set(low)))
+                if len(names) > LONG_NAME:
+                    names = ".." + hashlib.blake2b(names.encode(), digest_size=8).hexdigest()
                 if name not in ("html", "body", "article", "main"):
                     if not NAMED.isdisjoint(low) or not _ROLES.isdisjoint(low):
                         level = NAME
@@ -160,7 +172,7 @@ def parse(page: str) -> list[tuple[str, int, str]]:
             flush()
             causes = (*causes, len(levels))
             levels.append(level)
-        stack.append((name, path if len(path) < 400 else parent[1], causes))
+        stack.append((name, path if len(stack) <= DEPTH else parent[1], causes))
         if name in ("article", "main") and 0 not in causes:
             mains.append(causes)
         if name in BLOCK:
@@ -226,10 +238,17 @@ def style_tree(pages: DataFrame, html: str = "html", url: str = "url") -> DataFr
 
     seen = pages.select(host_of(url).alias("host"), F.col(html).alias("html")).mapInArrow(run, "host string, same long, features array<struct<path string, feature long, content boolean, first boolean, level int>>")
     once = materialise(seen.dropDuplicates(["host", "same"]), "features")
-    mine = _importance(_counts(once, ["host"]), ["host"])
-    all_ = _importance(_counts(once.dropDuplicates(["same"]), []), [])
-    all_ = all_.select("path", _leaning("importance", "pages", F.lit(1.0)).alias("general"))
-    both = mine.join(all_, "path").select("host", "path", _leaning("importance", "pages", F.col("general")).alias("mixed"), "is_leaf", "pages", "level", _leaning("importance", "pages", F.lit(0.0)).alias("named"))
+    own, general = _counts(once, ["host"]), _counts(once.dropDuplicates(["same"]), [])
+    mine, all_ = _importance(own, ["host"]), _importance(general, [])
+    all_ = all_.select("path", _leaning("importance", "pages", F.lit(1.0)).alias("general"), F.col("pages").alias("all_pages"))
+    # how often a host's texts stand on the branch anywhere
+    seen_n = general.filter("content").select("path", "feature", F.log("n").alias("_log"))
+    spread = own.filter("content").join(seen_n, ["path", "feature"], "left").groupBy("host", "path").agg((F.sum(F.col("n") * F.coalesce("_log", F.lit(0.0))) / F.sum("n")).alias("_log"))
+    both = mine.join(all_, "path").join(spread, ["host", "path"], "left")
+    rare = F.when(F.col("all_pages") > 1, 1 - F.coalesce("_log", F.lit(0.0)) / F.log("all_pages")).otherwise(F.lit(1.0))
+    both = both.withColumn("rare", rare).withColumn("rare", _leaning("rare", "all_pages", F.lit(1.0)))
+    mixed = F.least(_leaning("importance", "pages", F.col("general")), F.when(F.col("is_leaf"), F.col("rare")).otherwise(F.lit(1.0)))
+    both = both.select("host", "path", mixed.alias("mixed"), "is_leaf", "pages", "level", F.least(_leaning("importance", "pages", F.lit(0.0)), "rare").alias("named"))
     # a branch never goes while one of its leaves is important
     best = both.filter("is_leaf").select("host", "mixed", F.explode(_ancestors()).alias("path")).groupBy("host", "path").agg(F.max("mixed").alias("best"))
     return both.join(best, ["host", "path"], "left").select("host", "path", F.greatest("mixed", "best").alias("importance"), "pages", "level", "named")
@@ -304,7 +323,8 @@ def extract(pages: DataFrame, id: str = "page_id", url: str = "url", html: str =
     low = tree.filter(goes | stays).groupBy("host").agg(F.collect_set(F.when(goes, F.col("path"))).alias("gone"), F.collect_set(F.when(stays, F.col("path"))).alias("stays"))
     low = materialise(low, "low-branches")
     rows = pages.select(F.col(id).alias("id"), F.col(url).alias("url"), host_of(url).alias("host"), F.col(html).alias("html"))
-    low = F.broadcast(low) if small_enough(low, BROADCAST_ROWS) else low
+    size = low.agg(F.sum(sum(F.aggregate(c, F.lit(0), lambda a, x: a + F.octet_length(x) + 16) for c in ("gone", "stays")))).first()[0] or 0
+    low = F.broadcast(low) if size <= BROADCAST_BYTES else low
     joined = rows.join(low, "host", "left").select("id", "url", "gone", "stays", "html")
 
     def run(batches):
