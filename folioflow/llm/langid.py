@@ -11,7 +11,8 @@ landmarks x BUCKETS bits and landmarks x languages numbers: its size follows fro
 Scoring: a block of texts is a 0/1 matrix; two matrix products give all scores of the block.
 
 Defined cases: null, empty and letterless texts are `und` with score 0; ties go to the language first in order; with no learnt
-language all texts are `und`; repeated rows are predicted alike.
+language all texts are `und`; repeated rows are predicted alike; of rows that repeat an id and a language, the one whose strings come
+first in order is learnt from; whole texts are read, however long, and other columns are not, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ GRAM = 3
 SAMPLE = 384
 LANDMARKS = 24
 RIDGE = 0.05
-#: Languages with fewest texts are left out beyond so many, which bounds the model.
+#: With more languages than this, the sample of each is smaller, as SAMPLE x LANGUAGES texts are learnt from at most.
 LANGUAGES = 512
+#: Ranks are taken within this many parts of a language first.
+PARTS = 32
 
 _FOLD = np.full(256, 0x20, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
@@ -84,10 +87,11 @@ class Model:
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id", sample: int = SAMPLE, landmarks: int = LANDMARKS) -> Model | None:
     """The model of df's rows with a language and a letter; None if there are none."""
     bounded_batches(df.sparkSession)
-    rows = df.filter(F.col(lang).isNotNull()).select(F.col(id).alias("id"), F.col(lang).alias("lang"), F.xxhash64(F.col(id).cast("string")).alias("h"))
-    rank = Window.partitionBy("lang").orderBy("h", "id")
-    chosen = rows.dropDuplicates(["id"]).withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= sample).orderBy("rank", "lang").limit(sample * LANGUAGES)
-    picked = df.select(F.col(id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(F.broadcast(chosen.select("id", "rank")), "id").filter(has_letter("text"))
+    rows = df.filter(F.col(lang).isNotNull()).select(F.col(id).alias("id"), F.col(lang).alias("lang"), F.xxhash64(F.col(id).cast("string")).alias("h")).distinct()
+    first = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang", F.pmod("h", F.lit(PARTS))).orderBy("h", "id"))).filter(F.col("rank") <= sample)
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).filter(F.col("rank") <= sample)
+    chosen = ranked.orderBy("rank", "lang").limit(sample * LANGUAGES)
+    picked = df.select(F.col(id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(F.broadcast(chosen.select("id", "lang", "rank")), ["id", "lang"]).filter(has_letter("text"))
 
     def bits(batches):
         for b in batches:
@@ -95,7 +99,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id
                 p = np.packbits(presence(raw, at), axis=1)
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(i, j - i), b.column(2).slice(i, j - i), b.column(0).slice(i, j - i), pa.array([r.tobytes() for r in p], pa.binary())], ["lang", "rank", "id", "bits"])
 
-    got = picked.select("id", "lang", "rank", "text").mapInArrow(bits, f"lang string, rank int, id {dict(df.dtypes)[id]}, bits binary").dropDuplicates(["id"]).toPandas()  # sample x languages rows of BUCKETS bits
+    got = picked.select("id", "lang", "rank", "text").mapInArrow(bits, f"lang string, rank int, id {dict(df.dtypes)[id]}, bits binary").groupBy("lang", "rank", "id").agg(F.min("bits").alias("bits")).toPandas()  # sample x languages rows of BUCKETS bits
     if not len(got):
         return None
     got = got.sort_values(["rank", "lang", "id"], kind="stable")

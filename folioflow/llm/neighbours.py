@@ -8,7 +8,9 @@ Every document is compared with every labelled vector, exactly, as blocks of mat
 their similarity as weight.
 
 Defined cases: null and empty texts have no terms and take the share of label 1 among all labels learnt; with no labels every score is
-0.5; with one label only, it is everyone's; ties in similarity are settled by the order of ids in the sample; repeated rows score alike.
+0.5; with one label only, it is everyone's; ties in similarity are settled by the order of the sample (rank, label, id); repeated rows
+score alike; an id with both labels teaches nothing; of rows that repeat a labelled id, the one whose terms come first in order is
+learnt from; whole texts are read, however long, and other columns are not, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,9 +25,11 @@ from ._words import chunks, words
 
 TERMS = 1 << 12
 DIMENSIONS = 48
-SAMPLE = 1024
+SAMPLE = 1000
 NEIGHBOURS = 25
 THRESHOLD = 0.7
+#: Ranks are taken within this many parts of a label first.
+PARTS = 32
 _EXTRA = 8
 
 
@@ -68,9 +72,11 @@ class Model:
         k = min(neighbours, len(self.labels))
         for i in range(0, len(z), block):
             sim = z[i : i + block] @ self.vectors.T
-            top = np.argpartition(-sim, k - 1, axis=1)[:, :k] if k < len(self.labels) else np.broadcast_to(np.arange(k), (len(sim), k))
-            w = np.maximum(np.take_along_axis(sim, top, axis=1), 0) + 1e-9
-            out[i : i + block] = (w * self.labels[top]).sum(axis=1) / w.sum(axis=1)
+            least = np.partition(sim, -k, axis=1)[:, -k, None]
+            above, equal = sim > least, sim == least
+            chosen = above | equal & (np.cumsum(equal, axis=1) <= k - above.sum(axis=1, keepdims=True))
+            w = np.where(chosen, np.maximum(sim, 0) + 1e-9, 0).astype(np.float64)
+            out[i : i + block] = w @ self.labels / w.sum(axis=1)
         out[empty] = self.share
         return np.clip(out, 0, 1)
 
@@ -81,13 +87,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
     Ids are joined with labels first; texts are only read for the chosen ids, which are few and broadcast, so no text is shuffled.
     """
     bounded_batches(docs.sparkSession)
-    marked = labels.filter(F.col(label).isin(0, 1)).select(F.col(id).alias("id"), F.col(label).cast("int").alias("y")).dropDuplicates(["id"])
+    marked = labels.filter(F.col(label).isin(0, 1)).select(F.col(id).alias("id"), F.col(label).cast("int").alias("y"))
+    marked = marked.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("_y")).filter("y = _y").drop("_y")
     rows = docs.select(F.col(id).alias("id")).distinct().join(marked, "id")
     share = rows.agg(F.avg(F.col("y").cast("double"))).first()[0]
     if share is None:
         return None
-    rank = Window.partitionBy("y").orderBy("h", "id")
-    chosen = rows.withColumn("h", F.xxhash64(F.col("id").cast("string"))).withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= sample).select("id", "rank", "y")
+    hashed = rows.withColumn("h", F.xxhash64(F.col("id").cast("string")))
+    first = hashed.withColumn("rank", F.row_number().over(Window.partitionBy("y", F.pmod("h", F.lit(PARTS))).orderBy("h", "id"))).filter(F.col("rank") <= sample)
+    chosen = first.withColumn("rank", F.row_number().over(Window.partitionBy("y").orderBy("h", "id"))).filter(F.col("rank") <= sample).select("id", "rank", "y")
     picked = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id").select("id", "y", "rank", "text")
 
     def run(batches):
@@ -95,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
             for i, j, raw, at in chunks(b.column(3)):
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in range(3)), pa.array([r.tobytes() for r in terms(raw, at).astype(np.float16)], pa.binary())], ["id", "y", "rank", "x"])
 
-    got = picked.mapInArrow(run, f"id {dict(docs.dtypes)[id]}, y int, rank int, x binary").dropDuplicates(["id"]).toPandas()  # 2 x sample rows of TERMS halves
+    got = picked.mapInArrow(run, f"id {dict(docs.dtypes)[id]}, y int, rank int, x binary").groupBy("id", "y", "rank").agg(F.min("x").alias("x")).toPandas()  # 2 x sample rows of TERMS halves
     got = got.sort_values(["rank", "y", "id"], kind="stable")
     x = np.stack([np.frombuffer(b, np.float16) for b in got["x"]]).astype(np.float32)
     y = got["y"].to_numpy().astype(np.float64)
