@@ -13,7 +13,9 @@ shuffle otherwise. Each hit carries the hashes around it, so texts are read once
 Words are lower-cased runs of characters other than 0x20 and 0x09-0x0D; a shingle is K words (all words of a shorter item).
 
 Defined cases: null and empty texts and items have no words and no hits; a document shorter than an item is one window, itself; repeated
-items and repeated rows give a row for each (document id, item id) once; ties in similarity take the first window; no items, no rows.
+items and repeated rows give a row for each (document id, item id) once; ties in similarity take the first window; no items, no rows;
+rows that repeat an id with other texts give the best window of any of them; whole texts are read, however long, and other columns are
+not, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ PERCENT = 80
 RADIUS = 23
 BROADCAST_ROWS = 500_000
 BLANKS = " \t\n\x0b\x0c\r"
-_LANES, _LANE_BITS = 16, 16
+#: Hashes that a count of 16 bits holds.
+_MOST_OF_16 = 65_535
 
 
 def words(text: str | Column) -> Column:
@@ -44,26 +47,31 @@ def _hashes(w: str, k: int) -> Column:
     return F.when(n == 0, F.array().cast("array<bigint>")).when(n < k, F.array(F.xxhash64(F.col(w)))).otherwise(full)
 
 
-def _spread(byte: Column) -> tuple[Column, ...]:
-    """The 4 low bits of a byte as 16-bit lanes of one long."""
+def _spread(bits: Column, lanes: int) -> Column:
+    """The low bits of a long, one in each of so many lanes of another."""
     out = F.lit(0).cast("long")
-    for b in range(4):
-        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(byte, b).bitwiseAND(F.lit(1).cast("long")), 16 * b))
+    for b in range(lanes):
+        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(bits, b).bitwiseAND(F.lit(1).cast("long")), 64 // lanes * b))
     return out
 
 
 def simhash(hashes: str) -> Column:
-    """64 bits: bit b is set where more than half of the hashes (with repeats) have it. Sixteen longs count four bits each."""
-    start = F.array(*[F.lit(0).cast("long")] * 16)
-    add = lambda a, h: F.array(*[F.get(a, F.lit(i)) + _spread(F.shiftrightunsigned(h, 4 * i)) for i in range(16)])
+    """64 bits: bit b is set where more than half of the hashes (with repeats) have it. Sixteen longs count four bits each; for arrays beyond their range, thirty-two count two each."""
+    return F.when(F.size(hashes) <= _MOST_OF_16, _counted(hashes, 4)).otherwise(_counted(hashes, 2))
+
+
+def _counted(hashes: str, lanes: int) -> Column:
+    longs, width = 64 // lanes, 64 // lanes
+    start = F.array(*[F.lit(0).cast("long")] * longs)
+    add = lambda a, h: F.array(*[F.get(a, F.lit(i)) + _spread(F.shiftrightunsigned(h, lanes * i), lanes) for i in range(longs)])
     n = F.size(hashes)
 
     def finish(a: Column) -> Column:
         out = F.lit(0).cast("long")
-        for i in range(16):
-            for b in range(4):
-                count = F.shiftrightunsigned(F.get(a, F.lit(i)), 16 * b).bitwiseAND(F.lit(0xFFFF).cast("long"))
-                out = out.bitwiseOR(F.when(count * 2 > n, F.shiftleft(F.lit(1).cast("long"), 4 * i + b)).otherwise(F.lit(0).cast("long")))
+        for i in range(longs):
+            for b in range(lanes):
+                count = F.shiftrightunsigned(F.get(a, F.lit(i)), width * b).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+                out = out.bitwiseOR(F.when(count * 2 > n, F.shiftleft(F.lit(1).cast("long"), lanes * i + b)).otherwise(F.lit(0).cast("long")))
         return out
 
     return F.aggregate(hashes, start, add, finish)
@@ -82,10 +90,14 @@ def blocks(fp: str, radius: int = RADIUS) -> Column:
 
 
 def _as_set(h: str) -> Column:
-    """Repeats told apart by their number, so that set operations count them."""
+    """Repeats told apart by their number, so that set operations count them. Where a run of equal hashes begins is spread by doubling steps: n log n in all."""
     plain = F.size(F.array_distinct(h)) == F.size(h)
-    told = F.transform(h, lambda x, i: F.xxhash64(x, F.size(F.filter(F.slice(h, 1, i + 1), lambda y: y == x))))
-    once = F.transform(h, lambda x: F.xxhash64(x, F.lit(1)))
+    once = F.transform(h, lambda x: F.xxhash64(x, F.lit(0)))
+    s = F.sort_array(h)
+    begin = F.transform(s, lambda x, i: F.when((i > 0) & (x == F.get(s, i - 1)), F.lit(0)).otherwise(i))
+    steps = F.sequence(F.lit(0), F.length(F.bin(F.size(h).cast("long"))))
+    first = F.aggregate(steps, begin, lambda r, k: F.transform(r, lambda x, i: F.greatest(x, F.coalesce(F.get(r, i - F.call_function("shiftleft", F.lit(1), k)), F.lit(0)))))
+    told = F.transform(F.arrays_zip(s.alias("x"), first.alias("f")), lambda z, i: F.xxhash64(z["x"], i - z["f"]))
     return F.when(plain, once).otherwise(told)
 
 
