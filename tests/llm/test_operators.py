@@ -462,3 +462,115 @@ def test_clean_deletes_what_was_written(spark):
     assert x.count() == 3
     assert _tables.clean(spark) > 0
     assert _tables._written == []
+
+
+# brute force of models and of the tree
+
+
+def test_language_scores_equal_the_kernel_in_plain_python(spark):
+    rng = random.Random(12)
+    docs = spark.createDataFrame([(i, prose(rng, 8) if i % 2 else prose(rng, 8).replace("e", "o"), "ab"[i % 2]) for i in range(60)], "doc_id long, text string, lang string")
+    model = langid.fit(docs, landmarks=4)
+    texts = [prose(rng, 6), "Zz 99 é", prose(rng, 3).upper()]
+    fold = lambda t: bytes(langid._FOLD[b] for b in t.encode())
+
+    def strings(t):
+        shift = 32 - langid.BUCKETS.bit_length() + 1
+        x = fold(t)
+        return {((int.from_bytes(x[i : i + n], "big") + n * 0x01000193) % 2**32 * 0x9E3779B1 % 2**32) >> shift for n in (1, 2, 3) for i in range(len(x) - n + 1)}
+
+    marks = [set(np.flatnonzero(r).tolist()) for r in np.unpackbits(model.bits, axis=1)]
+    got = langid.identify(table(spark, texts), model).orderBy("doc_id").collect()
+    for r, t in zip(got, texts, strict=True):
+        s = strings(t)
+        f = [sum(len(s & m) / (len(s) * len(m)) ** 0.5 * w for m, w in zip(marks, model.weights[:, c], strict=True)) for c in range(2)]
+        assert r.lang_pred == model.languages[int(np.argmax(f))]
+        assert abs(r.score - min(1, max(0, (max(f) + 1) / 2))) < 1e-4
+
+
+def test_votes_equal_a_full_sort(spark):
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(90, 4)).astype(np.float32)
+    vectors[10:40] = vectors[10]  # ties
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    model = neighbours.Model(np.ones(neighbours.TERMS, np.float32), rng.normal(size=(neighbours.TERMS, 4)).astype(np.float32), vectors, rng.integers(0, 2, 90).astype(float), 0.5)
+    texts = [prose(random.Random(i), 12) for i in range(5)] + [""]
+    raw, at = (np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)]))
+    got = model.score(raw, at, neighbours=25)
+    z = model.latent(neighbours.terms(raw, at))
+    for i in range(5):
+        sim = [float(z[i] @ v) for v in vectors]
+        top = sorted(range(90), key=lambda j: (-round(sim[j], 5), j))[:25]
+        w = [max(sim[j], 0) + 1e-9 for j in top]
+        assert abs(got[i] - sum(a * model.labels[j] for a, j in zip(w, top, strict=True)) / sum(w)) < 1e-4
+    assert got[5] == 0.5
+
+
+def test_learning_does_not_depend_on_the_order_of_rows(spark):
+    rng = random.Random(2)
+    rows = [(i % 30, prose(rng, 20), "ab"[i % 2]) for i in range(60)]
+    labels = [(i, i % 2) for i in range(30)] + [(4, 1)]
+    a, b = (spark.createDataFrame(x, "doc_id long, text string, lang string") for x in (rows, rows[::-1]))
+    la, lb = (spark.createDataFrame(x, "doc_id long, quality int") for x in (labels, labels[::-1]))
+    assert np.array_equal(langid.fit(a).weights, langid.fit(b).weights)
+    m, n = neighbours.fit(a, la), neighbours.fit(b, lb)
+    assert np.array_equal(m.vectors, n.vectors)
+    assert np.array_equal(m.labels, n.labels)
+    assert len(m.labels) == 29
+
+
+def test_importance_equals_entropies_in_plain_python(spark):
+    from collections import Counter
+    from math import log
+
+    rng = random.Random(1)
+    rows = [(i, f"http://h{i % 3}.example/{i}", f"<body><div class=a>{rng.choice(['x', 'y', 'z'])}{i % 3}</div><div class=b><p>{prose(rng, 5)}</p></div></body>") for i in range(50)]
+    got = {(r.host, r.path): r.importance for r in siteview.style_tree(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    path, back = "/body/div.a/#", siteview.BACKOFF
+    texts = [(u.split("/")[2], re.search("class=a>(.*?)<", h)[1]) for _, u, h in rows]
+    entropy = lambda xs: 1 - sum(n * log(n) for n in Counter(xs).values()) / len(xs) / log(len(xs))
+    everywhere = Counter(t for _, t in texts)
+    general = (50 * entropy([t for _, t in texts]) + back) / (50 + back)
+    for host in {h for h, _ in texts}:
+        own = [t for h, t in texts if h == host]
+        mixed = (len(own) * entropy(own) + back * general) / (len(own) + back)
+        rare = 1 - sum(log(everywhere[t]) for t in own) / len(own) / log(50)
+        assert abs(got[host, path] - min(mixed, (50 * rare + back) / (50 + back))) < 1e-9
+        assert got[host, "/body/div.b/p/#"] == 1
+
+
+@pytest.mark.parametrize("names", [("k1", "k2", "k3"), ("col left", "zq", "xx-4")])
+def test_the_tree_alone_finds_boilerplate_whose_names_say_nothing(spark, names):
+    rng = random.Random(14)
+    adverts = [prose(rng, 6) for _ in range(12)]
+    rows, want = [], []
+    for host, n in [(f"one{i}", 1) for i in range(40)] + [(f"five{i}", 5) for i in range(12)] + [("fifty", 50)]:
+        slogan = f"Welcome to {host} " + prose(rng, 4)
+        for _ in range(n):
+            text = prose(rng, 30)
+            top = f"<div class='{names[0]}'>{slogan}</div>" if n == 50 else ""
+            rows.append((host, f"<body>{top}<div class='{names[1]}'>{rng.choice(adverts)}</div><div class='{names[2]}'><p>{text}</p></div></body>"))
+            want.append(text)
+    pages = spark.createDataFrame([(i, f"http://{h}.example/{i}", x) for i, (h, x) in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in siteview.extract(pages).collect()}
+    changed = sum(got[i] != siteview.main_text(x, frozenset()) for i, (_, x) in enumerate(rows))
+    assert changed == len(rows)
+    assert [got[i] for i in range(len(rows))] == want
+
+
+def test_no_markup_of_cut_or_unclosed_tags():
+    for page, text in [('<p>yo <a href="http://x.y/z', "yo"), ('<p class="x>two</p>', "two"), ('<p class="x>two</p><p class="y">three</p>', "two\nthree"), ('<p title="a>b">q</p>', "q")]:
+        assert siteview.main_text(page, frozenset()) == text
+    deep = "<div>" * 3000 + "deep" + "</div>" * 3000
+    assert siteview.main_text(deep, frozenset()) == "deep"
+
+
+def test_long_items_and_repeated_shingles(spark):
+    long = " ".join(["same"] * 300 + ["other"] * 20)
+    got = spark.createDataFrame([([5] * 65_535,), ([5] * 70_000,)], "h array<long>").select(decontaminate.simhash("h").alias("s")).collect()
+    assert [r.s for r in got] == [5, 5]
+    x = spark.createDataFrame([([3, 1, 3, 3, 2, 1],), ([],), ([7],)], "h array<long>").select(decontaminate._as_set("h").alias("a")).collect()
+    assert [len(set(r.a)) for r in x] == [6, 0, 1]
+    items = spark.createDataFrame([(1, long)], "item_id long, text string")
+    got = decontaminate.matches(table(spark, ["a b c " + long, "same " * 40]), items).collect()
+    assert [(r.doc_id, r.item_id, r.n_words) for r in got] == [(0, 1, 320)]
