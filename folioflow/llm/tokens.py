@@ -1,7 +1,8 @@
 """Exact token length histogram, and what its suffix sums answer.
 
 Defined cases: a null or empty text has length 0; repeated rows count as often as they occur; an empty table has an empty
-histogram; clashing columns don't matter, as only the text is read.
+histogram; clashing columns don't matter, as only the text is read; a text is encoded whole, however long. Sums stand at the lengths
+that occur; at_limits answers any other.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._tables import materialise
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Lengths are dealt to blocks of so many values for the running sums.
 BLOCK = 1024
@@ -63,9 +66,10 @@ def length_histogram(lengths: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 def suffix_sums(histogram: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Per length L: documents and tokens of length L or more and below L, the total if every document is cut at L, and L's rank.
 
-    Blocks of lengths are summed first, so no task sorts more than one block and the short list of blocks.
+    Blocks of lengths are summed first, so no task sorts more than one block and the short list of blocks. The histogram is written once,
+    as both steps read it and texts should be encoded once.
     """
-    h = histogram.withColumn("_block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("_tokens", F.col("n_tokens") * F.col("n_docs"))
+    h = materialise(histogram, "histogram").withColumn("_block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("_tokens", F.col("n_tokens") * F.col("n_docs"))
     over = lambda *by_: Window.partitionBy(*by_)
     blocks = h.groupBy(*by, "_block").agg(F.sum("n_docs").alias("_bd"), F.sum("_tokens").alias("_bt"))
     after = over(*by).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
