@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,24 +61,50 @@ def corner_folio(text: str | Column, page: str | Column) -> Column:
     return F.when(glued, F.nullif(bare(F.substr(clean, F.length(p) + 1)), F.lit(""))).otherwise(clean)
 
 
+def _letters(x: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, padded with 0, lengths) of a series of strings."""
+    size = x.str.len().to_numpy().astype(np.int64)
+    out = np.zeros((len(x), int(size.max(initial=0))), np.int32)
+    for i, t in enumerate(x):
+        out[i, : len(t)] = [ord(c) for c in t]
+    return out, size
+
+
+def hand_distances(read: pd.Series, printed: pd.Series) -> np.ndarray:
+    """hand_distance() of a batch: each cell of the table is computed for all pairs at once."""
+    (a, n), (b, m) = _letters(read), _letters(printed)
+    likes = np.zeros((128, 128), bool)
+    for digit, letters in HAND.items():
+        likes[[ord(c) for c in letters], ord(digit)] = True
+    d = np.zeros((a.shape[1] + 1, b.shape[1] + 1, len(read)))
+    d[:, 0] = np.arange(a.shape[1] + 1)[:, None] * HAND_OTHER
+    d[0] = np.arange(b.shape[1] + 1)[:, None] * HAND_OTHER
+    for i in range(1, a.shape[1] + 1):
+        x = a[:, i - 1]
+        for j in range(1, b.shape[1] + 1):
+            y = b[:, j - 1]
+            alike = (x < 128) & (y < 128) & likes[np.minimum(x, 127), np.minimum(y, 127)]
+            cost = np.where(x == y, 0.0, np.where(alike, HAND_CONFUSION, HAND_OTHER))
+            best = np.minimum(np.minimum(d[i - 1, j], d[i, j - 1]) + HAND_OTHER, d[i - 1, j - 1] + cost)
+            if j > 1:
+                ten = (x == ord("D")) & (b[:, j - 2] == ord("1")) & (y == ord("0"))
+                best = np.where(ten, np.minimum(best, d[i - 1, j - 2] + HAND_D_FOR_10), best)
+            d[i, j] = best
+    return d[n, m, np.arange(len(read))]
+
+
 def hand_distance(read: str | Column, printed: str | Column) -> Column:
-    """Edit distance of a hand-written code to printed digits, where letters that a hand makes of a digit cost half, and a D for 10."""
-    a, b = F.filter(F.split(_c(read), ""), lambda x: x != ""), F.filter(F.split(_c(printed), ""), lambda x: x != "")
-    looks = F.create_map(*[F.lit(v) for k, s in HAND.items() for v in (k, s)])
-    cost = lambda x, y: F.when(x == y, 0.0).when(~x.rlike("^\\d$") & F.contains(F.coalesce(F.try_element_at(looks, y), F.lit("")), x), HAND_CONFUSION).otherwise(HAND_OTHER)
-    first = F.transform(F.sequence(F.lit(0), F.size(b)), lambda j: j * F.lit(HAND_OTHER))
-
-    def line(row: Column, x: Column) -> Column:
-        def cell(done: Column, j: Column) -> Column:
-            swap = F.get(row, j - 1) + cost(x, F.get(b, j - 1))
-            best = F.least(F.get(row, j) + HAND_OTHER, F.element_at(done, -1) + HAND_OTHER, swap)
-            ten = (x == "D") & (j >= 2) & (F.get(b, j - 2) == "1") & (F.get(b, j - 1) == "0")
-            return F.concat(done, F.array(F.when(ten, F.least(best, F.get(row, j - 2) + HAND_D_FOR_10)).otherwise(best)))
-
-        begin = F.array(F.get(row, F.lit(0)) + HAND_OTHER)
-        return F.when(F.size(b) == 0, begin).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(b), F.lit(1))), begin, cell))
-
-    return F.element_at(F.aggregate(a, first, line), -1)
+    """Edit distance of a hand-written code to printed digits, where letters that a hand makes of a digit cost half, and a D for 10. Null if either is."""
+
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        both = a.notna() & b.notna()
+        out = pd.Series([None] * len(a), dtype="float64")
+        if both.any():
+            out[both.to_numpy()] = hand_distances(a[both], b[both])
+        return out
+
+    return run(_c(read), _c(printed))
 
 
 def checked_hand_code(code: str | Column, stamped: str | Column, offices: Column | None = None, sure: Column | None = None) -> Column:

@@ -99,11 +99,6 @@ def clean_documents(spark, sf):
     return lg.with_status(docs(spark, sf), "clean").select("job_id")
 
 
-@query(f"WITH {DOC} SELECT job_id, name FROM doc ORDER BY lpad(regexp_extract(name, '[0-9]+'), 10, '0') LIMIT 200")
-def natural_name_order(spark, sf):
-    return docs(spark, sf).orderBy(*lg.sort_key("name")).limit(200).select("job_id", "name")
-
-
 @query(f"WITH {DOC} SELECT job_id, name, row_number() OVER (ORDER BY lpad(regexp_extract(name, '[0-9]+'), 10, '0'), name, at_ DESC, job_id DESC) AS place FROM doc")
 def natural_name_places(spark, sf):
     # places within runs of names that begin alike, behind the rows of all runs before: no task sorts all rows

@@ -103,14 +103,6 @@ def corrected_by_known_codes(spark, sf):
     return mt.closest_known(o.select("o_orderkey", read_.alias("code")), o.select(code.alias("code")), 1)
 
 
-@query("WITH p AS (SELECT o_orderkey AS unit, o_custkey AS page_number, 'cc ' || (1000000 + o_custkey) || ' y ' || (1000000 + o_orderkey % 900) AS text FROM orders), i AS (SELECT DISTINCT unit, page_number, unnest(regexp_extract_all(text, '\\b(\\d{6,10})\\b', 1)) AS person_id FROM p) SELECT person_id, unit, count(DISTINCT page_number) AS n_pages FROM i WHERE person_id IN (SELECT CAST(1000000 + c_custkey AS VARCHAR) FROM customer WHERE c_custkey % 10 = 0) GROUP BY ALL")
-def mentioned_people(spark, sf):
-    o = read(spark, sf, "orders")
-    p = o.select(F.col("o_orderkey").alias("unit"), F.col("o_custkey").alias("page_number"), F.concat(F.lit("cc "), (1000000 + F.col("o_custkey")).cast("string"), F.lit(" y "), (1000000 + F.col("o_orderkey") % 900).cast("string")).alias("text"))
-    people = read(spark, sf, "customer").filter("c_custkey % 10 = 0").select((1000000 + F.col("c_custkey")).cast("string").alias("person_id"))
-    return mt.mentions(p, people)
-
-
 @query("WITH p AS (SELECT o_orderkey AS unit, o_custkey AS page_number, 'cc ' || (1000000 + o_custkey) || ' y ' || (1000000 + o_orderkey % 900) AS text FROM orders), i AS (SELECT DISTINCT unit, page_number, unnest(regexp_extract_all(text, '\\b(\\d{6,10})\\b', 1)) AS person_id FROM p) SELECT person_id, unit, count(DISTINCT page_number) AS n_pages FROM i WHERE person_id IN (SELECT CAST(1000000 + c_custkey AS VARCHAR) FROM customer) GROUP BY ALL")
 def all_mentioned_people(spark, sf):
     o = read(spark, sf, "orders")
@@ -165,12 +157,6 @@ def page_hashes(spark, sf):
     return read(spark, sf, "documents").select("doc_id", mt.page_hash("text").alias("hash"))
 
 
-@query("""WITH x AS (SELECT doc_id, substr(text, 1, 200) AS t FROM documents) SELECT doc_id, trim(regexp_replace(upper(replace(strip_accents(t), 'ß', 'SS')), '\\s+', ' ', 'g')) AS normal, translate(replace(upper(replace(strip_accents(t), 'ß', 'SS')), 'RN', 'M'), '01568|', 'OISGBI') AS folded, trim(regexp_replace(lower(strip_accents(t)), '[^a-z0-9]+', '-', 'g'), '-') AS words FROM x""")
-def normalised_text(spark, sf):
-    t = F.substring("text", 1, 200)
-    return read(spark, sf, "documents").select("doc_id", tx.normalise(t).alias("normal"), tx.fold_confusions(F.upper(tx.strip_accents(t))).alias("folded"), tx.slug(t, 400).alias("words"))
-
-
 @query("""SELECT doc_id, trim(regexp_replace(upper(replace(strip_accents(text), 'ß', 'SS')), '\\s+', ' ', 'g')) AS normal, translate(replace(upper(replace(strip_accents(text), 'ß', 'SS')), 'RN', 'M'), '01568|', 'OISGBI') AS folded, trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', '-', 'g'), '-') AS words FROM documents""")
 def normalised_whole_text(spark, sf):
     # a slug has a letter or two for each letter of text

@@ -81,12 +81,6 @@ def pipeline_stats(spark, sf):
     return g.select("doc_id", "n_pages", (F.col("v") / F.col("n_pages")).alias("vision_ratio"))
 
 
-@query("SELECT job_id, name, row_number() OVER (ORDER BY day NULLS LAST, job_id) AS number FROM (SELECT o_orderkey AS job_id, 'caja ' || o_orderkey AS name, CASE WHEN o_orderkey % 6 <> 0 THEN CAST(o_orderdate AS DATE) END AS day FROM orders WHERE o_custkey = 7)")
-def numbered_by_date(spark, sf):
-    x = O(spark, sf).filter("o_custkey = 7").select(F.col("o_orderkey").alias("job_id"), F.concat(F.lit("caja "), F.col("o_orderkey").cast("string")).alias("name"), F.when(F.col("o_orderkey") % 6 != 0, F.to_date("o_orderdate")).alias("day"))
-    return sq.chronological(x.withColumn("one", F.lit(1)), "day", ["one"], "job_id").select("job_id", "name", F.col("place").alias("number"))
-
-
 @query("SELECT o_custkey AS customer, job_id, name, row_number() OVER (PARTITION BY o_custkey ORDER BY day NULLS LAST, job_id) AS number FROM (SELECT o_custkey, o_orderkey AS job_id, 'caja ' || o_orderkey AS name, CASE WHEN o_orderkey % 6 <> 0 THEN CAST(o_orderdate AS DATE) END AS day FROM orders)")
 def all_numbered_by_date(spark, sf):
     x = O(spark, sf).select(F.col("o_custkey").alias("customer"), F.col("o_orderkey").alias("job_id"), F.concat(F.lit("caja "), F.col("o_orderkey").cast("string")).alias("name"), F.when(F.col("o_orderkey") % 6 != 0, F.to_date("o_orderdate")).alias("day"))

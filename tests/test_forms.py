@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import dates as dt
 from folioflow.functions import names as nm
+from folioflow.operators import units as un
 
 TODAY = date(2026, 1, 1)
 
@@ -111,3 +112,95 @@ def test_codes_of_a_hand(spark, code, day, box, sure, want):
     df = spark.createDataFrame([(code, day, box, sure)], "c string, d date, o array<string>, s boolean")
     got = df.select(nm.checked_hand_code("c", "d", F.col("o"), F.col("s")).alias("v")).first().v
     assert (got.value, got.reason) == want
+
+
+# choosing codes, crossings and books
+
+
+def pages_of(spark, rows, columns, first="page_number"):
+    return spark.createDataFrame([("d", i, *(r if isinstance(r, tuple) else (r,))) for i, r in enumerate(rows, 1)], f"doc_id string, {first} int, {columns}")
+
+
+def column_of(df, name, order="page_number"):
+    return [r[name] for r in df.orderBy(order).collect()]
+
+
+def test_resolved_codes_follow_the_open_unit(spark):
+    c = lambda code, score, opens=True, arguable=False: (code, score, opens, arguable)
+    rows = [
+        ([c("00100", 0.9), c("002-2023", 0.2, False)], False),  # opens and names an annex
+        ([c("002-2023", 0.8)], False),  # the annex it announced
+        ([c("00101", 0.7, False, True)], False),  # a header that lost its mark: goes on, arguable
+        (None, True),  # not read
+        ([c("00100", 0.4)], False),  # the open code, boosted
+        ([c("00200", 0.65), c("00300", 0.6)], False),  # a tie
+        ([], False),
+    ]
+    df = pages_of(spark, rows, "candidates array<struct<code:string,score:double,opens:boolean,arguable:boolean>>, degraded boolean")
+    got = un.resolved_codes(df).orderBy("page_number").collect()
+    assert [(r.code, r.confidence, r.ambiguous) for r in got] == [("00100", 0.9, False), ("00100", 1.0, False), ("00100", 0.3, True), (None, None, True), ("00100", 0.7, False), ("00200", 0.65, True), (None, None, False)]
+
+
+def test_crossed_codes(spark):
+    day = date(2021, 6, 18)
+    printed = spark.createDataFrame([(1, "RE2310202105657", day), (1, "RE2310202199999", day), (2, "RE3110202100001", day)], "box int, code string, printed_on date")
+    readings = spark.createDataFrame([(1, 7, "23D20210565", day), (1, 7, "23D20210565P", day), (1, 8, "23D20210565", day), (1, 9, "9999999999999", day), (2, 3, "3110202100001", date(2022, 1, 1)), (2, 3, "3110202100001", date(2022, 1, 1))], "box int, stamp int, read string, stamped date")
+    got = sorted((r.box, r.stamp, r.code, r.n_readings, r.believed) for r in un.crossed_codes(readings, printed).collect())
+    assert got == [(1, 7, "RE2310202105657", 2, True), (1, 8, "RE2310202105657", 1, False), (2, 3, "RE3110202100001", 2, False)]
+
+
+@pytest.mark.parametrize(
+    ("folios", "alone", "goes_on", "opens"),
+    [
+        ([5, 6, None, 8, 1, 2, None], [7], {2, 3, 4, 6}, {5, 7}),
+        ([11, 12, 47, 14], [], {2, 3, 4}, set()),
+        ([12, None, 1, 2, 3, 18], [], {2, 3, 4, 5, 6}, set()),
+        ([16, 77, 18], [], {2, 3}, set()),
+        ([11, 11, 11, 12], [], set(), set()),
+        ([3, 1, 13], [], set(), set()),
+    ],
+)
+def test_foliation(spark, folios, alone, goes_on, opens):
+    df = pages_of(spark, [(f, i in alone) for i, f in enumerate(folios, 1)], "folio int, opens_alone boolean")
+    got = un.foliation(df).collect()
+    assert {r.page_number for r in got if r.continues} == goes_on
+    assert {r.page_number for r in got if r.opens} == opens
+
+
+def test_academic_records(spark):
+    rows = [(None, None, None), ("old", "1", None), ("new", "1", None), (None, None, None), ("certificate", "1", None), ("certificate", "2", None), ("old", "3", None), ("old", "4", None), (None, None, None)]
+    assert column_of(un.academic_records(pages_of(spark, rows, "kind string, code string, person string")), "record") == [1, 2, 2, 2, 2, 3, 4, 4, 4]
+
+
+def test_payroll_documents(spark):
+    none = dict.fromkeys(("key", "number", "goes_on", "person", "blank", "told_page"))
+    sheets = [
+        {"sheet": None},
+        {"sheet": "divider"},
+        {"sheet": "list", "key": "a"},
+        {"sheet": "list"},
+        {"sheet": "voucher"},
+        {"sheet": "list", "key": "b", "told_page": 2},  # takes back one unread sheet
+        {"sheet": "certificate", "number": 5, "person": "p"},
+        {"sheet": "certificate", "number": 5},
+        {"sheet": "certificate", "number": 6},
+        {"sheet": "card", "person": "q"},
+        {"sheet": "card", "blank": True},
+        {"sheet": "index"},
+        {"sheet": "list", "key": "a"},
+    ]
+    rows = [tuple({**none, "goes_on": False, "blank": False, **s}[c] for c in ("sheet", "key", "number", "goes_on", "person", "blank", "told_page")) for s in sheets]
+    df = pages_of(spark, rows, "sheet string, key string, number int, goes_on boolean, person string, blank boolean, told_page int")
+    assert column_of(un.payroll_documents(df), "document") == [1, 1, 1, 1, 2, 2, 3, 3, 4, 4, 4, 5, 6]
+
+
+def test_acts_in_series(spark):
+    rows = [(17, 2016), (1, 2016), (2, 2016), (18, 2016), (1, 2017), (None, None), (2, 2017)]
+    assert column_of(un.acts_in_series(pages_of(spark, rows, "number int, year int", "position")), "session", "position") == [1, 1, 1, 2, 3, 4, 5]
+
+
+def test_phrases(spark):
+    texts = spark.createDataFrame([(1, "VISTO EL RECURSO DE REPOSICION Y SUBSIDIARIAMENTE EL DE APELACION"), (2, "RECUROS DE REPOSICION"), (3, "ACTA DE VISITA RECURSO DE REPOSICOIN"), (4, "nada"), (5, "")], "id int, text string")
+    phrases = spark.createDataFrame([("RECURSO DE REPOSICION",), ("RECURSO DE REPOSICION Y SUBSIDIARIAMENTE EL DE APELACION",), ("ACTA DE VISITA",)], "phrase string")
+    got = {r.id: (r.phrase, r.distance) for r in un.best_phrase(un.phrase_hits(texts, phrases)).collect()}
+    assert got == {1: ("RECURSO DE REPOSICION Y SUBSIDIARIAMENTE EL DE APELACION", 0), 2: ("RECURSO DE REPOSICION", 1), 3: ("ACTA DE VISITA", 0)}
