@@ -51,6 +51,26 @@ def repair_code(x: str | Column) -> Column:
     return F.when(F.substring(v, 1, 2).isin("RE", "BE", "PE") & body.rlike("^\\d{13}$"), F.concat(F.lit("RE"), body))
 
 
+def faculty_code(number: str | Column, following: Column, internal: Column | None = None) -> Column:
+    """A faculty's number in one form, NNN-YYYY: three figures and the whole year, which may stand in the words that follow.
+
+    Without a year in sight only numbers of two figures or more are filled up; other numbers stay.
+    """
+    n = _c(number)
+    shape = "^(?:NRO|NUM|N[º°O.]*|#)?(\\d{1,3})(?:[-–]{1,2}(\\d{4}|\\d{2}))?[-–]?$"
+    own = F.nullif(F.regexp_extract(n, shape, 2), F.lit(""))
+    rest = F.transform(F.slice(following, 1, 2), lambda w: F.btrim(w, F.lit(",;.()")))
+    of = F.coalesce(F.get(rest, F.lit(0)) == "DE", F.lit(False))
+    next_ = F.when(of, F.get(rest, F.lit(1))).otherwise(F.get(rest, F.lit(0)))
+    told = of | n.rlike("[-–]$") | (internal if internal is not None else F.lit(False)) | F.coalesce(next_.rlike("^[-–]"), F.lit(False))
+    behind = F.nullif(F.regexp_extract(F.coalesce(next_, F.lit("")), "^(?:[-–]{0,2}((?:19|20)\\d{2})|[-–]{1,2}(\\d{2}))$", 0), F.lit(""))
+    year = F.coalesce(own, F.when(told, F.regexp_replace(behind, "[-–]", "")))
+    whole = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
+    digits_ = F.regexp_extract(n, shape, 1)
+    padded = F.lpad(digits_, 3, "0")
+    return F.when(~n.rlike(shape), n).when(whole.isNotNull(), F.concat_ws("-", padded, whole)).when(F.length(digits_) >= 2, padded).otherwise(n)
+
+
 def account_number(text: str | Column) -> Column:
     """The customer account that a page names."""
     return F.nullif(F.regexp_extract(F.upper(_c(text)), "\\b(?:NIC|CUENTA INTERNA NO\\.?)\\W{0,4}(\\d{6,8})\\b", 1), F.lit(""))

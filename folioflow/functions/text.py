@@ -117,7 +117,8 @@ def number_in_text(number: str | Column, text: str | Column) -> Column:
 def search_terms(row: Column, query: str) -> Column:
     """All blank-separated terms of the query are substrings of the folded row text; marks such as % have no meaning."""
     terms = F.filter(F.split(fold(F.lit(query)), "\\s+"), lambda t: t != "")
-    return F.forall(terms, lambda t: F.contains(fold(row), t))
+    # the row is folded once, whatever the number of terms
+    return F.get(F.transform(F.array(fold(row)), lambda r: F.forall(terms, lambda t: F.contains(r, t))), F.lit(0))
 
 
 def osa(a: str, b: str, ceiling: int | None = None) -> int:

@@ -67,10 +67,17 @@ def person_by_id(pages: DataFrame, register: DataFrame) -> DataFrame:
 
 def person_candidates(readings: DataFrame, register: DataFrame, most: int = 3, least: int = 4) -> DataFrame:
     """(reading, person_id, shared): register entries that share words of `least` letters, the `most` best."""
-    words = lambda df, id: df.select(id, F.explode(F.array_distinct(F.filter(F.split(name_key("name"), " "), lambda w: F.length(w) >= least))).alias("word"))
-    hits = words(readings, "reading").join(words(register, "person_id"), "word").groupBy("reading", "person_id").agg(F.count("*").alias("shared"))
-    w = Window.partitionBy("reading").orderBy(F.desc("shared"), "person_id")
-    return hits.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most).drop("_r")
+    # names with the same words have the same candidates, and of entries with the same words only the first `most` can be among the best
+    words = F.array_sort(F.array_distinct(F.filter(F.split(name_key("name"), " "), lambda w: F.length(w) >= least)))
+    keyed = lambda df, id: df.select(id, F.array_join(words, " ").alias(f"{id}_key")).filter(F.col(f"{id}_key") != "")
+    r, p = keyed(readings, "reading"), keyed(register, "person_id").distinct()
+    first = Window.partitionBy("person_id_key").orderBy("person_id")
+    p = p.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= most).drop("_n")
+    split = lambda df, key: df.select(key).distinct().select(key, F.explode(F.split(key, " ")).alias("word"))
+    hits = split(r, "reading_key").join(split(p, "person_id_key"), "word").groupBy("reading_key", "person_id_key").agg(F.count("*").alias("shared"))
+    best = Window.partitionBy("reading_key").orderBy(F.desc("shared"), "person_id")
+    top = hits.join(p, "person_id_key").withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= most)
+    return r.distinct().join(top.select("reading_key", "person_id", "shared"), "reading_key").select("reading", "person_id", "shared")
 
 
 def only_best(candidates: DataFrame, key: str, score: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, names
-from ..functions.text import _c, is_garbled, osa_distance
+from ..functions.text import _c, is_garbled, normalise, osa_distance
 
 # Boost of the open code, least sure score, margin of a tie; distances of a crossing; folio jumps; acts to look ahead.
 BOOST, SURE, MARGIN = 0.30, 0.60, 0.12
@@ -389,6 +389,14 @@ def pages_with(kinds: DataFrame, by: list[str], kind: str) -> DataFrame:
     return kinds.select(*by, "page_number", kind).distinct().groupBy(*by, kind).agg(F.count("*").alias("n_pages"))
 
 
+def ids_of_several_names(rows: DataFrame) -> DataFrame:
+    """Rows (book, row, person_id, name) whose number of five figures or more bears another name in the same book, with the rows it stands in."""
+    x = rows.withColumn("_d", F.regexp_replace(F.coalesce("person_id", F.lit("")), "[^0-9]", "")).filter(F.length("_d") >= 5)
+    x = x.withColumn("_n", normalise(F.coalesce("name", F.lit(""))))
+    several = x.groupBy("book", "_d").agg(F.min("_n").alias("a"), F.max("_n").alias("b"), F.count("*").alias("n_rows")).filter("a <> b")
+    return x.join(several.select("book", "_d", "n_rows"), ["book", "_d"]).select("book", "row", F.col("_d").alias("number"), "n_rows")
+
+
 def ordered_groups(groups: DataFrame, sort: str) -> DataFrame:
     """Grouped entries (at, units, pages, name) in the order the reader asked for: newest, oldest, units, pages or name; ties by the newest."""
     from ..functions.text import natural_key

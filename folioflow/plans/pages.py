@@ -209,9 +209,6 @@ def pages_to_refine(spark, sf):
     return sq.refine_where_changed(x, "m").select("doc_id", "page_number")
 
 
-SPAN = "sp AS (SELECT user_id AS job_id, CAST(epoch(ts) AS DOUBLE) AS start_s, epoch(ts) + floor(value) * 600 AS end_s, CAST(floor(value) AS BIGINT) AS bytes FROM events)"
-
-
 def spans(spark, sf):
     e = read(spark, sf, "events")
     s = F.col("ts").cast("timestamp").cast("double")

@@ -255,3 +255,24 @@ def thin_and_dense_pages(spark, sf):
     return read(spark, sf, "documents").select(
         "doc_id", un.is_degraded(F.col("source").isNull(), provenance, F.length(F.coalesce("text", F.lit("")))).alias("degraded"), un.is_dense_body("text", F.startswith("text", F.lit("A"))).alias("dense")
     )
+
+
+@query("""WITH x AS (SELECT l_suppkey AS book, l_orderkey * 10 + l_linenumber AS row, CAST(l_partkey % 300 * 997 AS VARCHAR) AS d, CASE WHEN l_partkey % 7 = 0 THEN 'ANA' ELSE l_shipmode END AS n FROM (SELECT *, l_returnflag || l_linestatus AS l_shipmode FROM lineitem)),
+g AS (SELECT book, d, count(*) AS n_rows FROM x WHERE len(d) >= 5 GROUP BY ALL HAVING min(n) <> max(n)) SELECT book, row, d AS number, n_rows FROM x JOIN g USING (book, d)""")
+def ids_of_several_names(spark, sf):
+    c = F.col
+    name = F.when(c("l_partkey") % 7 == 0, "aná").otherwise(F.concat(c("l_returnflag"), c("l_linestatus")))
+    number = F.concat_ws(".", F.substring((c("l_partkey") % 300 * 997).cast("string"), 1, 2), F.substring((c("l_partkey") % 300 * 997).cast("string"), 3, 9))
+    x = read(spark, sf, "lineitem").select(c("l_suppkey").alias("book"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("row"), number.alias("person_id"), name.alias("name"))
+    return un.ids_of_several_names(x)
+
+
+@query("""SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN lpad(CAST(n AS VARCHAR), 3, '0') || '-' || y WHEN 1 THEN lpad(CAST(n AS VARCHAR), 3, '0') || '-20' || lpad(CAST(y % 100 AS VARCHAR), 2, '0') WHEN 2 THEN lpad(CAST(n AS VARCHAR), 3, '0') || '-' || y
+  WHEN 3 THEN CASE WHEN n < 10 THEN CAST(n AS VARCHAR) ELSE lpad(CAST(n AS VARCHAR), 3, '0') END WHEN 4 THEN '0' || (1000 + n) ELSE lpad(CAST(n AS VARCHAR), 3, '0') || '-' || y END AS code FROM (SELECT o_orderkey, o_orderkey % 130 AS n, year(o_orderdate) AS y FROM orders)""")
+def faculty_codes(spark, sf):
+    from ..functions.numbers import faculty_code
+
+    k, n, y = F.col("o_orderkey") % 6, (F.col("o_orderkey") % 130).cast("string"), F.date_format("o_orderdate", "yyyy")
+    number = F.when(k == 0, F.concat(n, F.lit("-"), y)).when(k == 1, F.concat(F.lit("N°"), n, F.lit("--"), F.substring(y, 3, 2))).when(k == 4, F.concat(F.lit("0"), (F.col("o_orderkey") % 130 + 1000).cast("string"))).when(k == 5, F.concat(n, F.lit("-"))).otherwise(n)
+    following = F.when(k == 2, F.array(F.lit("DE"), F.concat(y, F.lit(",")))).when(k == 5, F.array(y)).otherwise(F.array(F.lit("POR"), y))
+    return read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), faculty_code(number, following).alias("code"))

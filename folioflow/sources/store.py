@@ -31,14 +31,32 @@ def append_ledger(rows: DataFrame, path: str) -> int:
 
 
 def rewrite_ledger(rows: DataFrame, path: str) -> None:
-    """Replace the ledger by rows read from it: written beside it first, then swapped in."""
-    spark = rows.sparkSession
+    """Replace the ledger by rows read from it: written beside it first, then swapped in by renames.
+
+    The old ledger is kept aside until the new one is in its place, and comes back where that fails; a stop in between leaves it at
+    path.old, from where recover_ledger() takes it.
+    """
+    spark, base = rows.sparkSession, path.rstrip("/")
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    new, target = (jvm.org.apache.hadoop.fs.Path(p) for p in (path.rstrip("/") + ".part", path))
-    rows.drop("ordinal").write.mode("overwrite").json(path.rstrip("/") + ".part")
+    new, target, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (base + ".part", base, base + ".old"))
+    rows.drop("ordinal").write.mode("overwrite").json(base + ".part")
     fs = target.getFileSystem(conf)
-    fs.delete(target, True)
-    fs.rename(new, target)
+    if fs.exists(target):
+        fs.delete(old, True)
+        if not fs.rename(target, old):
+            raise OSError(f"cannot move {path} aside")
+    if not fs.rename(new, target):
+        fs.rename(old, target)
+        raise OSError(f"cannot put the new ledger at {path}")
+    fs.delete(old, True)
+
+
+def recover_ledger(spark: SparkSession, path: str) -> bool:
+    """Puts a ledger back that a stopped rewrite_ledger() left aside; whether there was one."""
+    base = path.rstrip("/")
+    target, old = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (base, base + ".old"))
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return bool(not fs.exists(target) and fs.exists(old) and fs.rename(old, target))
 
 
 def export_csv(rows: DataFrame, path: str, columns: tuple[str, ...] = EXPORTED) -> None:
