@@ -41,4 +41,4 @@ def test_query_equals_sql(spark, sf, db, name):
 
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.SQL)))
 def test_query_without_sql_runs(spark, sf, name):
-    assert plans.QUERIES[name](spark, sf).limit(1).count() <= 1
+    assert plans.QUERIES[name](spark, sf).count() > 0
