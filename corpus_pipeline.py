@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a table; stages but the last return the columns of documents. Written as Parquet and
 read again, each is the next one's docs.
+
+Defined cases: a null text counts as an empty one and rules reject it; rows without a doc_id are compared with none and stay as they are
+in near duplicates and repeated strings; nulls in other columns pass; extra columns are dropped, whatever their names; whole texts are
+read, however long; an empty table gives no rows. All rows of a doc_id go where one of them has a benchmark passage.
 """
 
 from __future__ import annotations
@@ -31,18 +35,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Each row is judged by its own text, so rows that repeat an id stay if their texts are unlike. Of a group's rows with its smallest id,
     those with the least digest of their words are the ones to stay, and of these one, by its other columns; without words, a row stays.
     """
+    nameless = docs.filter("doc_id IS NULL").select(*COLUMNS)
+    docs = docs.filter("doc_id IS NOT NULL")
     found = minhash.components(docs)
     kept = found.filter("id = component_id AND first").select(F.col("id").alias("doc_id"), F.col("digest").alias("_digest")).distinct()
     rows = docs.select(*COLUMNS, minhash.words_digest("text").alias("_digest")).join(kept, ["doc_id", "_digest"], "left_semi")
     rest = [c for c in COLUMNS if c != "doc_id"]
-    return rows.groupBy("doc_id", "_digest").agg(F.min(F.struct(*rest)).alias("r")).select("doc_id", *[F.col("r")[c].alias(c) for c in rest])
+    one = rows.groupBy("doc_id", "_digest").agg(F.min(F.struct(*rest)).alias("r")).select("doc_id", *[F.col("r")[c].alias(c) for c in rest])
+    return one.unionByName(nameless)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without strings of LEAST_REPEAT bytes that start in an earlier document, cut between characters; texts that go wholly go."""
-    found = repeats.remove_repeats(docs, least=LEAST_REPEAT, with_text=True, keep=("lang", "source"))
+    nameless = docs.filter("doc_id IS NULL").select(*COLUMNS)
+    found = repeats.remove_repeats(docs.filter("doc_id IS NOT NULL"), least=LEAST_REPEAT, with_text=True, keep=("lang", "source"))
     out = found.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"), "n_removed")
-    return out.filter("n_removed = 0 OR length(trim(text)) > 0").drop("n_removed")
+    return out.filter("n_removed = 0 OR length(trim(text)) > 0").drop("n_removed").unionByName(nameless)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

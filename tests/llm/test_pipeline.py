@@ -64,3 +64,25 @@ def test_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_each_stage_on_odd_rows_and_clashing_columns(spark, tmp_path):
+    rng = random.Random(5)
+    long, a, b = prose(rng, 160_000), prose(rng, 90), prose(rng, 90)
+    rows = [(1, a, "en", "s", 5), (1, b, "en", "s", 5), (1, a, "en", "s", 5), (None, prose(rng, 70), None, None, None), (2, None, None, None, None), (3, "", "en", None, 0), (4, long, "en", "s", 9), (5, b, "fr", "t", 1)]
+    names = ("part", "rid", "id", "c", "v", "key", "block", "row", "gone", "n")
+    spark.createDataFrame([(1, prose(rng, 20))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    extra = ", ".join(f"{n} int" for n in names)
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in rows], f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
+    stages = dict(cp.STAGES)
+    kept = sorted((r.doc_id or 0, len(r.text)) for r in stages["quality rules"](spark, docs, str(tmp_path)).collect())
+    assert kept == sorted((r[0] or 0, len(r[1])) for r in rows if r[1])
+    near = stages["near duplicates"](spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in near) == sorted([(0, rows[3][1]), (1, a), (1, b), (2, ""), (3, ""), (4, long)])
+    cut = stages["repeated strings"](spark, docs, str(tmp_path)).collect()
+    assert [r.text for r in cut if r.doc_id is None] == [rows[3][1]]
+    assert sorted((r.doc_id, r.lang, len(r.text or "")) for r in cut if r.doc_id in (1, 4)) == sorted([(1, "en", len(a)), (1, "en", len(b)), (1, "en", len(a)), (4, "en", len(long))])
+    assert 5 not in {r.doc_id for r in cut}
+    assert stages["benchmark leaks"](spark, docs, str(tmp_path)).count() == len(rows)
+    pieces = stages["best-fit packing"](spark, docs, str(tmp_path)).collect()
+    assert sum(r.length for r in pieces if r.doc_id == 4) == len(long)
