@@ -110,8 +110,10 @@ def has_looping_lines(x: str | Column, times: int = 4) -> Column:
 
 
 def number_in_text(number: str | Column, text: str | Column) -> Column:
-    digits = F.regexp_replace(_c(number), "[^0-9]", "")
-    return (digits != "") & F.contains(F.regexp_replace(_c(text), "(?<=\\d)[.,](?=\\d{3})", ""), digits)
+    """Whether these figures stand in the text as a number of their own, with or without marks between figures."""
+    digits = F.regexp_replace(F.coalesce(_c(number), F.lit("")), "[^0-9]", "")
+    joined = F.regexp_replace(F.coalesce(_c(text), F.lit("")), "(?<=\\d)[\\s.,'’-](?=\\d)", "")
+    return (digits != "") & F.regexp_like(joined, F.concat(F.lit("(?<!\\d)"), digits, F.lit("(?!\\d)")))
 
 
 def search_terms(row: Column, query: str) -> Column:

@@ -1,4 +1,4 @@
 """All queries of the library outside llm."""
 
-from . import archive, match, pages, readers, units  # noqa: F401
+from . import archive, match, pages, readers, texts, units  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
