@@ -22,6 +22,11 @@ LEAST_LETTERS, KEY = 12, 90
 PROSE, PHRASE, LOWER_SHARE = 5, 8, 0.7
 LIKENESS = 0.9
 MOST_OF_SUBJECT = 120
+# What announces an addressee, lines below it and of a signature, least length of a name, and words that no addressee or signature has.
+ADDRESSEE = ("Señores:", "Señor:", "Destinatario:")
+BELOW, SIGNATURE, LONGER_THAN = 8, 10, 10
+NOT_A_NAME = ("OFICINA", "CIUDAD", "FECHA", "ASUNTO", "REF:", "REFERENCIA", "NIC", "ATENTAMENTE")
+NOT_A_SIGNATURE = ("ATENTAMENTE", "CORDIALMENTE", "NOTIFICACIONES", "FIRMA")
 # What a subject, its word alone, a stamp's subject, a greeting, a section and a numeral look like.
 SUBJECT = r"(?i)^\W{0,3}(?:REF(?:ERENCIA)?|ASUNTO)\s*[.:;!]{1,3}\s*(.*)$"
 SUBJECT_ALONE = r"^\W{0,3}(?:Asunto|ASUNTO)\W{0,3}$"
@@ -120,3 +125,19 @@ def same_letter(a: Column, b: Column) -> Column:
     alike = (a["key"] == b["key"]) | (likeness(asked, b["key"]) >= LIKENESS)
     some = (a["key"] != "") & (b["key"] != "")
     return F.coalesce(some & F.when(dated, (a["day"] == b["day"]) & alike).otherwise(a["key"] == b["key"]), F.lit(False))
+
+
+def sender(text: str | Column) -> Column:
+    """Who a page is addressed to, else who signs it, up to a comma or semicolon; null without either."""
+    rows = F.transform(F.split(F.coalesce(_c(text), F.lit("")), "\n"), lambda x: F.regexp_replace(x, "^\\s+|\\s+$", ""))
+    has = lambda x, words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(x, w))
+    named = lambda x, but: (F.length(x) > LONGER_THAN) & x.rlike("^\\p{Lu}") & ~has(F.upper(x), but)
+    below = F.transform(rows, lambda x, i: F.when(has(x, ADDRESSEE), F.filter(F.slice(rows, i + 2, BELOW), lambda y: named(y, NOT_A_NAME))).otherwise(F.array().cast("array<string>")))
+    last = F.reverse(F.slice(rows, F.greatest(F.size(rows) - SIGNATURE + 1, F.lit(1)), SIGNATURE))
+    found = F.coalesce(F.get(F.flatten(below), F.lit(0)), F.get(F.filter(last, lambda y: named(y, NOT_A_SIGNATURE)), F.lit(0)))
+    return F.trim(F.get(F.split(found, "[;,]"), F.lit(0)))
+
+
+def sender_key(name: str | Column) -> Column:
+    """A sender for comparison: upper case, no accents, no marks; null for an empty one."""
+    return F.nullif(normalise(F.regexp_replace(_c(name), "[^\\p{L}\\p{N}_\\s]", "")), F.lit(""))

@@ -154,3 +154,10 @@ def osa_distance(a: Column, b: Column, ceiling: int | None = None) -> Column:
 def maybe_within(a: Column, b: Column, k: int) -> Column:
     """A native test that every pair within k edits passes: plain edit distance is at most twice as large."""
     return (F.abs(F.length(a) - F.length(b)) <= k) & (F.levenshtein(a, b) <= 2 * k)
+
+
+def within_one_edit(a: Column, b: Column) -> Column:
+    """Whether one edit, or a swap of neighbours, at most makes a into b; native."""
+    swapped = lambda i: F.concat(F.substring(a, F.lit(1), i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, F.length(a))) == b
+    edits = F.levenshtein(a, b)
+    return F.when(edits <= 1, True).when((edits == 2) & (F.length(a) == F.length(b)) & (F.length(a) > 1), F.exists(F.sequence(F.lit(1), F.length(a) - 1), swapped)).otherwise(False)

@@ -12,6 +12,7 @@ from ..functions import text as tx
 from ..functions.dates import month_of
 from ..operators import candidates as cd
 from ..operators import consensus as cs
+from ..operators import units as un
 from .registry import query, read
 
 TODAY = date(2026, 1, 1)
@@ -105,21 +106,44 @@ _HEADINGS = (
     "la resolución de directorio %3",
     "RESOLUCION INTERNA N — %3 y REVOLUCION",
     "solución No. %1 resolusion numero 03-%3 RESOLUCIONES: %1",
+    "Modificada por la RESOLUCION No. %1",
+    "■ RESOLUCION NO %1 DO 2023",
 )
 
 
-@query("""WITH x AS (SELECT o_orderkey AS id, o_orderkey % 8 AS k, lpad(CAST(o_orderkey % 90000 + 200 AS VARCHAR), 5, '0') AS n, lpad(CAST(o_orderkey % 800 + 10 AS VARCHAR), 3, '0') AS m, CAST(year(o_orderdate) AS VARCHAR) AS y FROM orders),
-w(k, line, token, term, distance, kind, official) AS (VALUES (0, 1, 0, 'RESOLUCION', 0, 'n', TRUE), (1, 0, 0, 'RESOLUCION', 1, 'n', TRUE), (2, 0, 1, 'RESOLUCION', 0, 'y', TRUE), (3, 1, 0, 'RESOLUCION', 0, 'n', TRUE), (4, 0, 0, 'RESOL', 0, 'n', TRUE),
-  (7, 0, 3, 'RESOLUCION', 1, 'f', TRUE), (7, 0, 6, 'RESOLUCIONES', 0, 'n', FALSE))
-SELECT id, line, token, term, distance, CASE kind WHEN 'n' THEN n WHEN 'y' THEN m || '-' || y ELSE '003-' || y END AS code, official FROM x JOIN w USING (k)""")
-def code_candidates(spark, sf):
+def _headings(spark, sf):
     k = F.col("o_orderkey")
     five, three, year = F.lpad((k % 90000 + 200).cast("string"), 5, "0"), (k % 800 + 10).cast("string"), F.year("o_orderdate").cast("string")
-    text = F.get(F.array(*[F.lit(x) for x in _HEADINGS]), (k % 8).cast("int"))
+    text = F.get(F.array(*[F.lit(x) for x in _HEADINGS]), (k % len(_HEADINGS)).cast("int"))
     for mark, value in (("%1", five), ("%2", three), ("%3", year)):
         text = F.replace(text, F.lit(mark), value)
-    x = read(spark, sf, "orders").select(k.alias("id"), text.alias("text"))
-    return cd.code_candidates(x).select("id", "line", "token", "term", "distance", "code", "official")
+    return read(spark, sf, "orders").select(k.alias("id"), text.alias("text"))
+
+
+_FOUND = """x AS (SELECT o_orderkey AS id, o_orderkey % 10 AS k, lpad(CAST(o_orderkey % 90000 + 200 AS VARCHAR), 5, '0') AS n, lpad(CAST(o_orderkey % 800 + 10 AS VARCHAR), 3, '0') AS m, CAST(year(o_orderdate) AS VARCHAR) AS y FROM orders),
+w(k, line, token, term, distance, kind, official, opens, arguable, cited) AS (VALUES (0, 1, 0, 'RESOLUCION', 0, 'n', TRUE, FALSE, TRUE, FALSE), (1, 0, 0, 'RESOLUCION', 1, 'n', TRUE, TRUE, TRUE, FALSE), (2, 0, 1, 'RESOLUCION', 0, 'y', TRUE, FALSE, FALSE, FALSE),
+  (3, 1, 0, 'RESOLUCION', 0, 'n', TRUE, TRUE, TRUE, FALSE), (4, 0, 0, 'RESOL', 0, 'n', TRUE, TRUE, TRUE, FALSE), (7, 0, 3, 'RESOLUCION', 1, 'f', TRUE, FALSE, FALSE, FALSE), (7, 0, 6, 'RESOLUCIONES', 0, 'n', FALSE, FALSE, FALSE, FALSE),
+  (8, 0, 3, 'RESOLUCION', 0, 'n', TRUE, FALSE, FALSE, TRUE), (9, 0, 1, 'RESOLUCION', 0, 'n', TRUE, TRUE, TRUE, FALSE)),
+found AS (SELECT id, line, token, term, distance, CASE kind WHEN 'n' THEN n WHEN 'y' THEN m || '-' || y ELSE '003-' || y END AS code, official, opens, arguable, cited FROM x JOIN w USING (k))"""
+
+
+@query(f"WITH {_FOUND} SELECT id, line, token, term, distance, code, official FROM found")
+def code_candidates(spark, sf):
+    return cd.code_candidates(_headings(spark, sf)).select("id", "line", "token", "term", "distance", "code", "official")
+
+
+@query(f"WITH {_FOUND} SELECT id, code, cited, opens, arguable FROM found")
+def opening_codes(spark, sf):
+    return cd.scored(cd.code_candidates(_headings(spark, sf))).select("id", "code", "cited", "opens", "arguable")
+
+
+@query()
+def codes_of_texts(spark, sf):
+    """From texts to the code that each page belongs to: orders are pages of their customer's file."""
+    pages = _headings(spark, sf).join(read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("doc_id")), "id").withColumnRenamed("id", "page_number")
+    found = cd.of_pages(cd.scored(cd.code_candidates(pages)), ["doc_id", "page_number"])
+    x = pages.select("doc_id", "page_number").join(found, ["doc_id", "page_number"], "left").withColumn("degraded", F.lit(False))
+    return un.resolved_codes(x)
 
 
 # pages that open a letter, go on with one, or do neither: %1 is a date, %2 a phrase of four words at least
@@ -163,3 +187,16 @@ def copies_of_letters(spark, sf):
     w = Window.partitionBy("box").orderBy("s", "d", F.col("id") % 6, "id")
     x = x.withColumns({"other": F.lag("id").over(w), "before": F.lag("letter").over(w)}).filter("other IS NOT NULL")
     return x.select("id", "other", lt.same_letter(F.col("letter"), F.col("before")).alias("same"))
+
+
+@query("""SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN 'Gerencia ' || c_name WHEN 2 THEN 'Ana Pérez ' || c_custkey END AS sender, CASE c_custkey % 4 WHEN 0 THEN upper(replace(c_name, '#', '')) WHEN 1 THEN 'GERENCIA ' || upper(replace(c_name, '#', '')) WHEN 2 THEN 'ANA PEREZ ' || c_custkey END AS key FROM customer""")
+def senders(spark, sf):
+    k, n = F.col("c_custkey") % 4, F.col("c_name")
+    text = (
+        F.when(k == 0, F.concat(F.lit("Bogotá\nSeñores:\nla oficina\nOficina de Reclamos\n  "), n, F.lit("; E.S.P.\nAtentamente, otro")))
+        .when(k == 1, F.concat(F.lit("hola\nDestinatario: x\n"), F.concat(F.lit("Gerencia "), n), F.lit(", Cartagena")))
+        .when(k == 2, F.concat(F.lit("texto\ncordialmente,\nAna Pérez "), F.col("c_custkey").cast("string"), F.lit("\nCordialmente suyo\nFirma del funcionario")))
+        .otherwise(F.lit("Señores:\nbreve\ntodo en minúsculas"))
+    )
+    x = read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), lt.sender(text).alias("sender"))
+    return x.select("id", "sender", lt.sender_key("sender").alias("key"))

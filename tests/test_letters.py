@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import letters as lt
 from folioflow.functions.text import number_in_text
-from folioflow.operators.candidates import code_candidates
+from folioflow.operators.candidates import code_candidates, of_pages, scored
+from folioflow.operators.units import resolved_codes
 
 CODES = [
     ("RESOLUCIÓN No. 00966_____________________________", [("00966", True)]),
@@ -93,3 +94,18 @@ def test_same_letter(spark):
 def test_number_in_text(spark, number, text, want):
     x = spark.createDataFrame([(number, text)], "n string, t string").select(number_in_text("n", "t").alias("w"))
     assert x.first()["w"] is want
+
+
+def test_codes_from_texts(spark):
+    texts = ["RESOLUCIÓN No. 00086\nPor la cual", "sin nada", "VISTO lo dicho, mediante Resolución No. 00072 de 2023 se dijo", "RESOLUCION NO.02809 DE NOVIEMBRE 23 DE 2022, SE EXCLUYE AL SENOR", "____ RESOLUCION NO. 00964 ______"]
+    pages = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "doc_id int, page_number int, text string")
+    found = of_pages(scored(code_candidates(pages)), ["doc_id", "page_number"])
+    got = resolved_codes(pages.join(found, ["doc_id", "page_number"], "left").withColumn("degraded", F.lit(False)))
+    assert [r["code"] for r in got.orderBy("page_number").collect()] == ["00086", None, "00086", "00086", "00964"]
+
+
+def test_geometry(spark):
+    pages = spark.createDataFrame([(i, "RESOLUCION NO. 00086", top, centre) for i, (top, centre) in enumerate([(0.1, 0.5), (0.5, 0.5), (0.1, 0.1), (None, None)])], "id int, text string, top double, centre double")
+    got = scored(code_candidates(pages), "top", "centre").orderBy("id").collect()
+    assert [r["opens"] for r in got] == [True, False, False, True]
+    assert all(r["score"] == 1.0 for r in got)
