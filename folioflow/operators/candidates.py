@@ -85,8 +85,10 @@ def with_first_code(rows: DataFrame, words: str, code: str, announced: str) -> D
 def code_candidates(pages: DataFrame, text: str = "text") -> DataFrame:
     """anchors() with the code behind each, on its line or else at the start of the next, and official: announced, and shaped like a heading's number."""
     x = with_first_code(with_first_code(anchors(pages, text), "after", "_c1", "_a1"), "following", "_c2", "_a2")
-    x = x.withColumns({"code": F.coalesce("_c1", "_c2"), "announced": F.when(F.col("_c1").isNotNull(), F.col("_a1")).otherwise(F.col("_a2"))}).filter("code IS NOT NULL")
-    return x.withColumn("official", F.col("announced") & F.col("code").rlike(OFFICIAL)).drop("_c1", "_c2", "_a1", "_a2", "following")
+    # a column that is not deterministic keeps the filter from being pushed below, and so repeating, the reading of codes
+    x = x.withColumns({"code": F.coalesce("_c1", "_c2"), "announced": F.when(F.col("_c1").isNotNull(), F.col("_a1")).otherwise(F.col("_a2")), "_row": F.monotonically_increasing_id()})
+    x = x.filter("code IS NOT NULL AND _row >= 0")
+    return x.withColumn("official", F.col("announced") & F.col("code").rlike(OFFICIAL)).drop("_c1", "_c2", "_a1", "_a2", "following", "_row")
 
 
 def scored(found: DataFrame, top: str | None = None, centre: str | None = None) -> DataFrame:
