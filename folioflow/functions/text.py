@@ -74,8 +74,12 @@ def is_garbled(x: str | Column) -> Column:
     return (interior_capitals(x) >= LEAST_INTERIOR_CAPITALS) & (garble_score(x) >= LEAST_PER_THOUSAND)
 
 
-def slug(x: str | Column, most: int = 60) -> Column:
-    return F.regexp_replace(F.substring(F.regexp_replace(F.lower(strip_accents(x)), "[^a-z0-9]+", "-"), 1, most), "^-+|-+$", "")
+def slug(x: str | Column, most: int | Column = 60) -> Column:
+    """Plain letters and figures joined by '-', cut between words where it would be longer than `most`."""
+    whole = F.regexp_replace(F.regexp_replace(F.lower(strip_accents(x)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    most = F.lit(most) if isinstance(most, int) else most
+    cut = F.regexp_replace(F.regexp_replace(F.substring(whole, F.lit(1), most), "-[^-]*$", ""), "-+$", "")
+    return F.when(F.length(whole) <= most, whole).otherwise(cut)
 
 
 def seconds_of(x: str | Column) -> Column:

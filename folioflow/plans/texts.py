@@ -6,6 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from ..functions import filenames as fn
 from ..functions import letters as lt
 from ..functions import numbers as nb
 from ..functions import text as tx
@@ -200,3 +201,16 @@ def senders(spark, sf):
     )
     x = read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), lt.sender(text).alias("sender"))
     return x.select("id", "sender", lt.sender_key("sender").alias("key"))
+
+
+@query("""WITH x AS (SELECT p_partkey AS id, lower(regexp_replace(p_type, '[^A-Za-z0-9]+', '-', 'g')) AS t, upper(regexp_replace(p_type, '[^A-Za-z0-9]+', '-', 'g')) AS k, lower(regexp_replace(p_name, '[^A-Za-z0-9]+', '-', 'g')) AS n, p_name FROM part)
+SELECT id, 'RESOLUCION_' || id || '.pdf' AS resolution, id || '_' || n || '_' || k || '.pdf' AS with_kind, CASE WHEN 30 - len(CAST(id AS VARCHAR)) - 5 >= len(k) THEN id || '_' || k ELSE id || '_' || rtrim(k[1:25 - len(CAST(id AS VARCHAR))], '-') END || '.pdf' AS tight,
+  id || '__' || t || '.pdf' AS with_title, p_name || ' 8.2' AS folder, 'Caja ' || id || '__inventario.xlsx' AS sheet FROM x""")
+def file_names(spark, sf):
+    k = F.col("p_partkey").cast("string")
+    kind = F.initcap("p_type")
+    folder = fn.folder_name(F.concat(F.lit(" "), F.col("p_name"), F.lit(" : 8.2.pdf")))
+    return read(spark, sf, "part").select(
+        F.col("p_partkey").alias("id"), fn.resolution_name(k).alias("resolution"), fn.kind_name(k, kind, "p_name").alias("with_kind"), fn.kind_name(k, kind, budget=30).alias("tight"),
+        fn.title_name(k, "p_type").alias("with_title"), folder.alias("folder"), fn.sheet_name(F.concat(F.lit("a\\b/Caja "), k, F.lit(".pdf")), "__inventario.xlsx").alias("sheet"),
+    )

@@ -5,8 +5,9 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from folioflow.functions import filenames as fn
 from folioflow.functions import letters as lt
-from folioflow.functions.text import number_in_text
+from folioflow.functions.text import number_in_text, slug
 from folioflow.operators.candidates import code_candidates, of_pages, scored
 from folioflow.operators.units import resolved_codes
 
@@ -109,3 +110,26 @@ def test_geometry(spark):
     got = scored(code_candidates(pages), "top", "centre").orderBy("id").collect()
     assert [r["opens"] for r in got] == [True, False, False, True]
     assert all(r["score"] == 1.0 for r in got)
+
+
+def test_file_names(spark):
+    c = F.lit
+    cases = [
+        (slug(c("Por la cual se autoriza"), 12), "por-la-cual"),
+        (slug(c("¡Única!"), 60), "unica"),
+        (fn.resolution_name(c("00086")), "RESOLUCION_00086.pdf"),
+        (fn.kind_name(c("01"), c("Derecho de petición")), "01_DERECHO-DE-PETICION.pdf"),
+        (fn.kind_name(c("1128047041"), c("DOCUMENTO DE IDENTIDAD"), c("Juan Pérez Gómez")), "1128047041_juan-perez-gomez_DOCUMENTO-DE-IDENTIDAD.pdf"),
+        (fn.kind_name(c("juan-perez"), c("diploma"), c("Juan Pérez")), "juan-perez_DIPLOMA.pdf"),
+        (fn.kind_name(c("01"), c("CAMBIO Y/O ACTUALIZACION"), budget=20), "01_CAMBIO-Y-O-AC.pdf"),
+        (fn.kind_name(c("0123456789"), c("QUEJA"), budget=20), "0123456789.pdf"),
+        (fn.kind_name(c("01"), c("QUEJA"), c("María del Socorro Pérez"), budget=32), "01_maria-del-socorro_QUEJA.pdf"),
+        (fn.title_name(c("00086"), c("por la cual"), budget=20), "00086.pdf"),
+        (fn.title_name(c(""), c(None).cast("string")), "sin-codigo.pdf"),
+        (fn.folder_name(c('6.3858: "REGISTRO" N°08 . .pdf')), "6.3858 REGISTRO N°08"),
+        (fn.folder_name(c("???.pdf")), "documento"),
+        (fn.sheet_name(c("00C003269\\1. 3858079.pdf"), "__f.xlsx"), "1. 3858079__f.xlsx"),
+        (fn.sheet_name(c("caja de nombre largo.pdf"), "__f.xlsx", 236), "caja de no__f.xlsx"),
+    ]
+    got = spark.range(1).select(*[x.alias(str(i)) for i, (x, _) in enumerate(cases)]).first()
+    assert list(got) == [w for _, w in cases]
