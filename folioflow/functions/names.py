@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from difflib import get_close_matches
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _c
+from .text import _c, strip_accents
 
 # Words between names, beginnings of two consonants, short words of names, offices that file, confusions of a hand.
 CONNECTORS = "DE DEL LA LAS LOS Y SAN SANTA VDA VIUDA".split()
@@ -132,3 +134,42 @@ def checked_hand_code(code: str | Column, stamped: str | Column, offices: Column
         .when(one.isNotNull(), out(F.concat(F.lit("RE"), one, F.substring(v, 7, 9)), "office corrected"))
         .otherwise(out(F.lit(None), "no such office"))
     )
+
+
+# Words of a name that don't count, their least length, other words between them, words that may be missing, likeness of two words.
+PARTICLES = ("DE", "DEL", "LA", "LAS", "LOS", "Y", "E", "SAN", "SANTA", "VDA", "VIUDA")
+LEAST_WORD, BETWEEN_WORDS, MISSING, ALIKE = 3, 4, 1, 0.8
+
+
+def _together(words: list[str], tokens: list[str]) -> bool:
+    """Whether enough of the words, or words like them, stand around one like the first."""
+    known = set(tokens)
+
+    def like(w: str) -> set[str]:
+        return {w} if w in known else set(get_close_matches(w, [t for t in known if t[0] == w[0] and abs(len(t) - len(w)) <= 2], 3, ALIKE))
+
+    alike = [like(w) for w in words]
+    needed, width = len(words) - (MISSING if len(words) >= 3 else 0), len(words) + BETWEEN_WORDS
+    around = (set(tokens[max(0, i - width + 1) : i + width]) for i, t in enumerate(tokens) if t in alike[0])
+    return any(sum(not a.isdisjoint(near) for a in alike) >= needed for near in around)
+
+
+def name_in_text(name: str | Column, text: str | Column) -> Column:
+    """Whether the words of a name stand together in a text, with a misread letter in each and one of three or more, but not the first, missing.
+
+    Names without a word that counts are in any text. Names that stand there as they are, and texts without a word that starts like the
+    first, are told natively; the rest is compared in batches.
+    """
+    plain = lambda x: F.filter(F.split(F.regexp_replace(F.upper(strip_accents(F.coalesce(_c(x), F.lit("")))), "[^A-Z0-9]+", " "), " "), lambda w: w != "")
+    words, tokens = F.filter(plain(name), lambda w: (F.length(w) >= LEAST_WORD) & ~w.isin(*PARTICLES)), plain(text)
+    first = F.get(words, F.lit(0))
+    spaced = lambda a: F.concat(F.lit(" "), F.array_join(a, " "), F.lit(" "))
+    there = F.contains(spaced(tokens), spaced(words))
+    maybe = F.exists(tokens, lambda t: (F.substring(t, 1, 1) == F.substring(first, 1, 1)) & (F.abs(F.length(t) - F.length(first)) <= 2))
+
+    @F.pandas_udf("boolean")
+    def compare(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else _together(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="boolean")
+
+    asked = (F.size(words) > 0) & ~there & maybe
+    return F.when((F.size(words) == 0) | there, True).otherwise(F.coalesce(compare(F.when(asked, words), F.when(asked, tokens)), F.lit(False)))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import filenames as fn
 from ..functions import letters as lt
+from ..functions import names as nm
 from ..functions import numbers as nb
 from ..functions import text as tx
 from ..functions.dates import month_of
@@ -214,3 +215,15 @@ def file_names(spark, sf):
         F.col("p_partkey").alias("id"), fn.resolution_name(k).alias("resolution"), fn.kind_name(k, kind, "p_name").alias("with_kind"), fn.kind_name(k, kind, budget=30).alias("tight"),
         fn.title_name(k, "p_type").alias("with_title"), folder.alias("folder"), fn.sheet_name(F.concat(F.lit("a\\b/Caja "), k, F.lit(".pdf")), "__inventario.xlsx").alias("sheet"),
     )
+
+
+@query("SELECT c_custkey AS id, c_custkey % 5 IN (0, 2) AS written FROM customer")
+def names_in_texts(spark, sf):
+    k, n = F.col("c_custkey") % 5, F.col("c_name")
+    text = (
+        F.when(k == 0, F.concat(F.lit("El rector, luisa leonor (doctora) AREVALO TOVAR y "), n))
+        .when(k == 1, F.concat(F.lit("LUISA firma el acta número tres con todos los demás miembros presentes; LEONOR Arévalo "), n))
+        .when(k == 2, F.concat(n, F.lit(" Luisa Arebalo Tovar")))
+        .when(k == 3, F.concat(n, F.lit(" Leonor Arévalo Tovar")))
+    )
+    return read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), nm.name_in_text(F.lit("Luisa Leonor de Arévalo Tovar"), text).alias("written"))

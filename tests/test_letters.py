@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import filenames as fn
 from folioflow.functions import letters as lt
+from folioflow.functions import names as nm
 from folioflow.functions.text import number_in_text, slug
 from folioflow.operators.candidates import code_candidates, of_pages, scored
 from folioflow.operators.units import resolved_codes
@@ -133,3 +134,19 @@ def test_file_names(spark):
     ]
     got = spark.range(1).select(*[x.alias(str(i)) for i, (x, _) in enumerate(cases)]).first()
     assert list(got) == [w for _, w in cases]
+
+
+def test_name_in_text(spark):
+    cases = [
+        ("Raúl Muskus López", "el señor RAUL MUSKUS LOPEZ", True),
+        ("Raúl Muskus López", "Helena Muskus López", False),
+        ("Raúl Muskus López", "Raul Muscus Perez", True),
+        ("Ana Pérez", "Ana", False),
+        ("Ana Pérez", "Ana " + "y otros " * 4 + "Pérez", False),
+        ("de la", "nada", True),
+        (None, "x", True),
+        ("Ana Pérez", "", False),
+        ("Ana Pérez", None, False),
+    ]
+    x = spark.createDataFrame([(i, n, t) for i, (n, t, _) in enumerate(cases)], "i int, n string, t string").select("i", nm.name_in_text("n", "t").alias("w"))
+    assert [r["w"] for r in x.orderBy("i").collect()] == [w for _, _, w in cases]
