@@ -88,22 +88,60 @@ def only_best(candidates: DataFrame, key: str, score: str) -> DataFrame:
 
 
 def closest_known(readings: DataFrame, known: DataFrame, within: int = 1) -> DataFrame:
-    """A code read by hand becomes the one known code within so many edits. Codes meet by a piece that edits leave whole: one of within + 1 parts of the known code, at its place or shifted by the edits."""
-    parts = within + 1
+    """A code read by hand becomes the closest known code within so many edits, if no other is as close.
+
+    A known code stays. Of others, the codes that one edit makes are looked up, with no pairs; only codes without a known one so near are paired.
+    """
+    k = known.select(F.col("code").alias("known")).filter("known IS NOT NULL").distinct()
+    open_ = readings.select("code").filter("code IS NOT NULL").distinct().join(k, F.col("code") == F.col("known"), "left_anti")
+    out = readings.join(k.select(F.col("known").alias("code"), F.col("known").alias("_same")), "code", "left")
+    if within < 1:
+        return out.withColumnRenamed("_same", "corrected")
+    near = _one_edit_away(open_, k)
+    if within > 1:
+        near = near.unionByName(_by_pieces(open_.join(near, "code", "left_anti"), k, within))
+    return out.join(near, "code", "left").select(*readings.columns, F.coalesce("_same", "_near").alias("corrected"))
+
+
+def _one_edit_away(codes: DataFrame, known: DataFrame) -> DataFrame:
+    """(code, _near) of codes, none of which is known, with a known one an edit or a swap away; null where there are several.
+
+    Two codes are that near if and only if they are the same key: the known code, or the known code without its i-th character, at i.
+    """
+
+    def without(code: Column, i: Column) -> Column:
+        return F.concat(F.substring(code, F.lit(1), i - 1), F.substring(code, i + 1, F.length(code)))
+
+    c, i = F.col("known"), F.col("at")
+    k = known.select("known", F.explode(F.sequence(F.lit(0), F.length(c))).alias("at"))
+    k = k.select("at", F.when(i == 0, c).otherwise(without(c, i)).alias("rest"), "known").groupBy("at", "rest").agg(F.min("known").alias("low"), F.max("known").alias("high"))
+    c, n = F.col("code"), F.length("code")
+    key = lambda at, rest: F.struct(at.alias("at"), rest.alias("rest"))
+    swapped = F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.lit(1)), F.substring(c, i, F.lit(1)), F.substring(c, i + 2, n))
+    r = codes.select("code", F.explode(F.sequence(F.lit(1), n + 1)).alias("at"))
+    keys = F.array(key(i, c), F.when(i <= n, key(F.lit(0), without(c, i))), F.when(i <= n, key(i, without(c, i))), F.when(i < n, key(F.lit(0), swapped)))
+    r = r.select("code", F.inline(F.array_compact(keys)))
+    return r.join(k, ["at", "rest"]).groupBy("code").agg(F.min("low").alias("low"), F.max("high").alias("high")).select("code", F.when(F.col("low") == F.col("high"), F.col("low")).alias("_near"))
+
+
+def _by_pieces(codes: DataFrame, known: DataFrame, within: int) -> DataFrame:
+    """(code, _near) of codes with one closest known code within so many edits. Codes meet by a piece that edits leave whole: one of 2 * within + 1 parts of the known code, at its place or shifted by the edits; a swap can touch two."""
+    parts = 2 * within + 1
 
     def piece(code: Column, i: int, shift: int) -> Column:
         size = F.floor(F.col("_len") / parts).cast("int")
-        start = F.lit(i) * size + 1
-        return F.substring(code, start + shift, F.when(F.lit(i) == parts - 1, F.col("_len") - start + 1).otherwise(size))
+        start = F.lit(i) * size + 1 + shift
+        size = F.when(F.lit(i) == parts - 1, F.col("_len") - F.lit(i) * size).otherwise(size)
+        # what lies before the first character is no part of it
+        return F.substring(code, F.greatest(start, F.lit(1)), size + F.least(start - 1, F.lit(0)))
 
-    k = known.select(F.col("code").alias("known")).distinct().withColumn("_len", F.length("known"))
+    k = known.withColumn("_len", F.length("known"))
     k = k.select("known", "_len", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), piece(F.col("known"), i, 0).alias("piece")) for i in range(parts)])).alias("p"))
-    r = readings.select("code").distinct().withColumn("_len", F.explode(F.array(*[F.length("code") + d for d in range(-within, within + 1)]))).filter("_len > 0")
+    r = codes.withColumn("_len", F.explode(F.array(*[F.length("code") + d for d in range(-within, within + 1)]))).filter("_len >= 0")
     r = r.select("code", "_len", F.explode(F.array_distinct(F.array(*[F.struct(F.lit(i).alias("i"), piece(F.col("code"), i, s).alias("piece")) for i in range(parts) for s in range(-within, within + 1)]))).alias("p"))
     pairs = r.join(k, ["_len", "p"]).select("code", "known").distinct().filter(maybe_within(F.col("code"), F.col("known"), within))
     near = pairs.withColumn("distance", osa_distance(F.col("code"), F.col("known"), within)).filter(F.col("distance") <= within)
-    exact = near.withColumn("distance", -F.col("distance"))
-    return readings.join(only_best(exact, "code", "distance").select("code", F.col("known").alias("corrected")), "code", "left")
+    return only_best(near.withColumn("distance", -F.col("distance")), "code", "distance").select("code", F.col("known").alias("_near"))
 
 
 def mentions(pages: DataFrame, people: DataFrame) -> DataFrame:

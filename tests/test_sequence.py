@@ -1,3 +1,5 @@
+import random
+
 from folioflow.functions.text import osa
 from folioflow.operators import matching as mt
 from folioflow.operators import seams as sm
@@ -67,3 +69,25 @@ def test_known_code_must_be_alone(spark):
     codes = frame(spark, [("A1203",), ("B9934",)], "code string")
     known = frame(spark, [("A1204",), ("A1205",), ("B9935",)], "code string")
     assert {r.code: r.corrected for r in mt.closest_known(codes, known, 1).collect()} == {"A1203": None, "B9934": "B9935"}
+
+
+def test_closest_known_equals_brute_force(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("ab1") for _ in range(rng.randint(0, 7)))
+    known = sorted({word() for _ in range(40)})
+    codes = [*{word() for _ in range(150)}, "acbdef", "áb€x", None]
+    known += ["abcdef", "ábx€", "abcd2345"]
+    read = frame(spark, [(c,) for c in codes], "code string")
+    for k in (0, 1, 2):
+        want = {None: None}
+        for c in filter(lambda c: c is not None, codes):
+            best = min(osa(c, x) for x in known)
+            near = [x for x in known if osa(c, x) == best]
+            want[c] = near[0] if best <= k and len(near) == 1 else None
+        assert {r.code: r.corrected for r in mt.closest_known(read, frame(spark, [(x,) for x in [*known, None]], "code string"), k).collect()} == want
+
+
+def test_one_edit_makes_no_pairs(spark):
+    codes = frame(spark, [(c,) for c in ("a1", "a2")], "code string")
+    plan = mt.closest_known(codes, codes, 1)._jdf.queryExecution().toString()
+    assert "levenshtein" not in plan and "ArrowEvalPython" not in plan
