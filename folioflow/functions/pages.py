@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from datetime import date
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -48,12 +51,27 @@ def head_runs_on(text: str | Column) -> Column:
     return first.rlike("^\\p{Ll}") & (F.size(F.split(F.trim(first), "\\s+")) >= 3)
 
 
+@cache
+def _all_marked() -> tuple[str, str]:
+    """All letters that are A-Z or a-z with marks, then the marks themselves; and the plain letters."""
+    letters, plain, marks = [], [], []
+    for x in map(chr, range(128, sys.maxunicode + 1)):
+        if unicodedata.category(x)[0] == "M":
+            marks.append(x)
+        elif (base := unicodedata.normalize("NFD", x)[0]).isascii() and base.isalpha():
+            letters.append(x)
+            plain.append(base)
+    return "".join(letters + marks), "".join(plain)
+
+
 def capitalised_words(text: str | Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(strip_accents(text), F.lit("\\b([A-Z][a-z]{2,})\\b"), F.lit(1)))
+    """Different words of a capital and two small letters at least, without their marks; letters other than A-Z end a word."""
+    return F.array_distinct(F.regexp_extract_all(F.translate(_c(text), *_all_marked()), F.lit("(?<![0-9A-Za-z_])([A-Z][a-z]{2,})(?![0-9A-Za-z_])"), F.lit(1)))
 
 
 def shared_names(a: Column, b: Column, least: int = 2) -> Column:
-    return F.size(F.array_intersect(a, b)) >= least
+    """Null where a or b is."""
+    return F.array_size(F.array_intersect(a, b)) >= least
 
 
 def from_path(path: str | Column, up: int) -> Column:

@@ -37,9 +37,9 @@ def running_sentences(spark, sf):
 
 @query("WITH x AS (SELECT doc_id, list_distinct(regexp_extract_all(strip_accents(text), '\\b([A-Z][a-z]{2,})\\b', 1)) AS w FROM documents), y AS (SELECT doc_id, w, lead(w) OVER (ORDER BY doc_id) AS v FROM x) SELECT doc_id, len(list_intersect(w, v)) >= 2 AS shared FROM y WHERE v IS NOT NULL")
 def neighbours_share_names(spark, sf):
-    d = read(spark, sf, "documents").select("doc_id", pg.capitalised_words("text").alias("w"))
-    after = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("v"))
-    return d.join(after, "doc_id").select("doc_id", pg.shared_names(F.col("w"), F.col("v")).alias("shared"))
+    at = F.struct("_metadata.file_path", "_metadata.row_index")
+    d = read(spark, sf, "documents").select("doc_id", pg.capitalised_words("text").alias("w"), at.alias("at"))
+    return sq.with_next(d, "doc_id", "w", "at").filter("next IS NOT NULL").select("doc_id", pg.shared_names(F.col("w"), F.col("next")).alias("shared"))
 
 
 @query("SELECT o_orderkey AS id, 'nic-' || (o_custkey % 30) AS nic, 'caja' || (o_custkey % 7) AS box, NULL::VARCHAR AS beyond FROM orders")

@@ -67,3 +67,14 @@ def test_plausible_ids_equal_sql_on_runs_of_a_figure(spark, tmp_path):
     assert got == dict(db.sql(plans.SQL["plausible_ids"]).fetchall())
     # the reader itself takes no run of one figure for a number
     assert [r[0] for r in spark.createDataFrame([("111111",), ("7.882.907",), ("0123456",), (None,)], "x string").select(nm.plausible_id(F.col("x"))).collect()] == [False, True, False, False]
+
+
+def test_neighbours_are_those_next_in_order(spark, tmp_path):
+    texts = ["Ana Bel Eva", "Eva Bel", None, "", "Bel Žaneta Eva", "Zaneta Ben Undß Keit", "Und Keit Ana", "A\u0301ngel Ana\u00f8 Keitß Bel", "Angel Ana_ Ana Keit Bel"]
+    rows = [(i * i * 10**15 - 500, texts[i * 5 % len(texts)]) for i in range(60)] + [(None, "Keit Ana Bel")]
+    spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = dict(db.sql(plans.SQL["neighbours_share_names"]).fetchall())
+    got = {r.doc_id: r.shared for r in plans.QUERIES["neighbours_share_names"](spark, str(tmp_path)).collect()}
+    assert got == want and set(got.values()) == {True, False, None}
