@@ -238,7 +238,9 @@ def style_tree(pages: DataFrame, html: str = "html", url: str = "url") -> DataFr
 
     seen = pages.select(host_of(url).alias("host"), F.col(html).alias("html")).mapInArrow(run, "host string, same long, features array<struct<path string, feature long, content boolean, first boolean, level int>>")
     once = materialise(seen.dropDuplicates(["host", "same"]), "features")
-    own, general = _counts(once, ["host"]), _counts(once.dropDuplicates(["same"]), [])
+    # each step is written, as one plan of all of them takes the driver more memory than the steps' tables take disk
+    own = materialise(_counts(once, ["host"]), "counts")
+    general = materialise(_counts(once.dropDuplicates(["same"]), []), "all-counts")
     mine, all_ = _importance(own, ["host"]), _importance(general, [])
     all_ = all_.select("path", _leaning("importance", "pages", F.lit(1.0)).alias("general"), F.col("pages").alias("all_pages"))
     # how often a host's texts stand on the branch anywhere
@@ -249,6 +251,7 @@ def style_tree(pages: DataFrame, html: str = "html", url: str = "url") -> DataFr
     both = both.withColumn("rare", rare).withColumn("rare", _leaning("rare", "all_pages", F.lit(1.0)))
     mixed = F.least(_leaning("importance", "pages", F.col("general")), F.when(F.col("is_leaf"), F.col("rare")).otherwise(F.lit(1.0)))
     both = both.select("host", "path", mixed.alias("mixed"), "is_leaf", "pages", "level", F.least(_leaning("importance", "pages", F.lit(0.0)), "rare").alias("named"))
+    both = materialise(both, "branches")
     # a branch never goes while one of its leaves is important
     best = both.filter("is_leaf").select("host", "mixed", F.explode(_ancestors()).alias("path")).groupBy("host", "path").agg(F.max("mixed").alias("best"))
     return both.join(best, ["host", "path"], "left").select("host", "path", F.greatest("mixed", "best").alias("importance"), "pages", "level", "named")
@@ -279,7 +282,7 @@ def _importance(counts: DataFrame, by: list[str]) -> DataFrame:
     )
     log_m = F.log("m")
     entropy = F.when(F.col("m") > 1, 1 - F.col("n_log_n") / F.col("m") / log_m).otherwise(F.lit(1.0))
-    own = g.select(*by, "path", "content", "m", "k", "pages", "level", entropy.alias("own"))
+    own = materialise(g.select(*by, "path", "content", "m", "k", "pages", "level", entropy.alias("own")), "entropies")
     leaf = own.filter("content").select(*by, "path", F.col("own").alias("leaf"), F.col("m").alias("leaf_m"), F.col("pages").alias("leaf_pages"), "level")
     node = own.filter("NOT content").select(*by, "path", F.col("own").alias("node"), F.col("pages").alias("node_pages"), F.col("k").alias("styles"))
     x = leaf.join(node, [*by, "path"], "full")

@@ -574,3 +574,11 @@ def test_long_items_and_repeated_shingles(spark):
     items = spark.createDataFrame([(1, long)], "item_id long, text string")
     got = decontaminate.matches(table(spark, ["a b c " + long, "same " * 40]), items).collect()
     assert [(r.doc_id, r.item_id, r.n_words) for r in got] == [(0, 1, 320)]
+
+
+def test_style_tree_is_no_single_plan(spark):
+    rows = [(i, f"http://h{i % 3}.x/{i}", f"<body><div class=a><p>word {i}</p></div><div class=b>menu</div></body>") for i in range(12)]
+    tree = siteview.style_tree(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    # the driver's memory grows with the joins and shuffles that are planned at once
+    plan = tree._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") <= 1 and plan.count("Aggregate") <= 2
