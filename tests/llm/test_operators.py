@@ -7,6 +7,8 @@ import zlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,6 +144,89 @@ def test_repeats_of_nothing(spark):
     assert [r.n_removed for r in repeats.remove_repeats(table(spark, [None, ""])).collect()] == [0, 0]
 
 
+class Table:
+    """Stands for a DataFrame where only the function that it is mapped by matters."""
+
+    def same(self, *_):
+        return self
+
+    select = groupBy = cogroup = same
+
+    def mapInArrow(self, run, _):
+        return run
+
+    applyInArrow = mapInArrow
+
+
+def by(t, column):
+    return {k: t.filter(pc.equal(t.column(column), k)) for k in pc.unique(t.column(column)).to_pylist()}
+
+
+def stages_of_repeats(rows, least, rows_of_a_block, n):
+    """The stages of remove_repeats one after another, without Spark."""
+    blocks = []
+    for a in range(0, len(rows), rows_of_a_block):
+        data = [(t or "").encode() if not isinstance(t, bytes) else t for _, t in rows[a : a + rows_of_a_block]]
+        blocks.append({"block": len(blocks), "ids": [i for i, _ in rows[a : a + rows_of_a_block]], "ends": np.cumsum([len(d) for d in data]).tolist(), "data": b"".join(data), "rest": [None] * len(data)})
+    schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("data", pa.binary()), ("rest", pa.list_(pa.string()))])
+    tables, t = [pa.Table.from_pylist([b], schema) for b in blocks], Table()
+    anchors = pa.Table.from_batches([x for b in tables for x in repeats._anchors(t, least, n)(b.select(["block", "ends", "data"]).to_batches())], pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("fps", pa.binary())]))
+    shared = [repeats._shared_anchors(t)(g) for g in by(anchors, "bucket").values()]
+    shared = by(pa.concat_tables(shared), "block") if shared else {}
+    none = pa.table({"block": pa.array([], pa.int64()), "bucket": pa.array([], pa.int32()), "fps": pa.array([], pa.binary()), "spread": pa.array([], pa.binary())})
+    regions = by(pa.concat_tables([repeats._regions(t, t, least, n, n)(b, shared.get(k, none)) for k, b in enumerate(tables)]), "shard")
+    classes = [repeats._classes(t, least, n)(r) for r in regions.values()]
+    answers = [repeats._merge_classes(t)(g) for g in (by(pa.concat_tables(classes), "bucket").values() if classes else ())]
+    answers = pa.concat_tables(answers) if answers else repeats._ANSWER_SCHEMA.empty_table()
+    of_shard = by(answers, "shard")
+    gone = [repeats._stretches(t, t, least, n)(r, of_shard.get(k, answers.slice(0, 0))) for k, r in regions.items()]
+    nothing = pa.table({"block": pa.array([], pa.int64()), "row": pa.array([], pa.int32()), "start": pa.array([], pa.int64()), "length": pa.array([], pa.int64())})
+    gone = by(pa.concat_tables([nothing, *gone]), "block")
+    out = pa.concat_tables([repeats._cut(t, t, "long", False)(b, gone.get(k, nothing)) for k, b in enumerate(tables)])
+    return sorted(zip(*(out.column(c).to_pylist() for c in ("id", "n_bytes", "n_removed", "n_spans", "kept_sha256")), strict=True))
+
+
+@pytest.mark.parametrize("seed", range(24))
+def test_stages_of_repeats_equal_brute_force(monkeypatch, seed):
+    rng = random.Random(seed)
+    monkeypatch.setattr(repeats, "_PIECE", rng.choice([5, 64, 1 << 15]))
+    letters = rng.choice(["ab", "abcdefgh", "aé\x00 "])
+    pool = ["".join(rng.choices(letters, k=rng.randrange(1, 90))) for _ in range(12)]
+    texts = ["".join(rng.choices(pool, k=rng.randrange(0, 6))) for _ in range(40)] + [None, "", *pool, *pool]
+    rng.shuffle(texts)
+    ids = [rng.randrange(30) for _ in texts] if seed % 3 == 0 else rng.sample(range(-20, 1000), len(texts))
+    rows = list(zip(ids, texts, strict=True))
+    least = rng.choice([8, 20, 50])
+    assert stages_of_repeats(rows, least, rng.choice([1, 7, 100]), rng.choice([1, 5])) == brute_repeats(rows, least)
+
+
+def test_equal_regions_of_a_shard_are_sorted_once(monkeypatch):
+    rng, sorted_bytes = random.Random(5), []
+    passage = prose(rng, 400)
+    monkeypatch.setattr(repeats, "suffix_array", lambda raw, depth: (sorted_bytes.append(len(raw)), suffix.suffix_array(raw, depth))[1])
+    rows = [(i, passage) for i in range(12)]
+    assert stages_of_repeats(rows, 50, 1, 1) == brute_repeats(rows, 50)
+    assert sum(sorted_bytes) < 1.5 * len(passage)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_prefixes_of_some_suffixes(seed):
+    rng = np.random.default_rng(seed)
+    raw = rng.integers(97, 99, 400).astype(np.uint8)
+    raw[200:] = raw[:200]
+    wanted = rng.random(400) < 0.6
+    sa, rank = suffix.suffix_array(raw, 9)
+    whole, some = suffix.common_prefixes(raw, sa, rank, 9), suffix.common_prefixes(raw, sa, rank, 9, chain=40, wanted=wanted)
+    assert (whole == some)[wanted[sa]].all()
+
+
+def test_numbers_in_a_table():
+    rng = np.random.default_rng(1)
+    x, table = rng.integers(0, 300, 5000).astype(np.uint64) << np.uint64(20), np.unique(rng.integers(0, 300, 90)).astype(np.uint64) << np.uint64(20)
+    assert (repeats._is_in(x, table) == np.isin(x, table)).all()
+    assert not repeats._is_in(x, table[:0]).any()
+
+
 # near duplicates
 
 
